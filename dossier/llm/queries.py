@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dossier.llm.common import table
+from dossier.llm.line_dedup import repeated_units
 from dossier.llm.mixing import mix_sources
 from dossier.llm.near_dedup import near_duplicates
+from dossier.llm.quality import score_quality
 from dossier.llm.sharding import shard_documents
 
 
@@ -20,7 +22,15 @@ def op7_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_sharding, op7_mixing)}
+def op8_line_dedup(spark, sf_dir):
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_sharding, op7_mixing, op8_line_dedup, op10_quality)}
 
 ORACLE: dict[str, str] = {
     "op7_mixing": r"""
