@@ -6,6 +6,7 @@ from dossier.llm.common import table
 from dossier.llm.line_dedup import repeated_units
 from dossier.llm.mixing import mix_sources
 from dossier.llm.near_dedup import near_duplicates
+from dossier.llm.packing import pack_documents
 from dossier.llm.quality import score_quality
 from dossier.llm.sharding import shard_documents
 
@@ -14,6 +15,20 @@ def op1_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+#: Where the public vocabulary files are; a parameter of every query that needs tokens.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
+
+
 def op5_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -30,7 +45,7 @@ def op10_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_sharding, op7_mixing, op8_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_packing, op5_sharding, op7_mixing, op8_line_dedup, op10_quality)}
 
 ORACLE: dict[str, str] = {
     "op7_mixing": r"""
