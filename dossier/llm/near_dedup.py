@@ -8,8 +8,9 @@ every link is confirmed on the full shingle sets.
 
 Nodes of the link graph are distinct shingle sets, so a group of copies of any size is one node.
 A bucket proposes a star around its most typical member first. Members that stay outside the
-bucket's main class are then compared with the whole bucket in blocks, so no link between two
-classes is passed over; pairs within one class need no test, as they can't change a class.
+bucket's main class are then compared with the whole bucket in blocks of sketches. What may still be linked across
+classes forms clumps, whose full sets are compared in blocks, so no link between two classes is passed over;
+pairs within one class need no test, as they can't change a class. Pairs are never listed, only links are.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from dossier.llm.common import components, cut, streams
 RING = 1 << 20
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
+#: Full sets of a clump that are compared in one block.
+SET_BLOCK = 256
 
 
 def ring(coordinates: int, seed: int = 7) -> np.ndarray:
@@ -160,7 +163,10 @@ def _stars(least: float):
 
 
 def _across(least: float):
-    """mapInArrow over (bucket, block): its probes against its members, where the classes differ."""
+    """mapInArrow over (bucket, block): its probes against its members, where the classes differ.
+
+    Emits the edges of a spanning forest of the pairs that may be links, not the pairs.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -174,16 +180,70 @@ def _across(least: float):
             for lo, hi in _groups(batch, ["bucket", "block"]):
                 own = np.arange(lo, hi)
                 member = own[~probe[lo:hi]]
+                tree = np.arange(hi - lo)
                 for p in own[probe[lo:hi]]:
-                    hit = member[(root[member] != root[p])]
+                    hit = member[root[member] != root[p]]
                     hit = hit[(rows[hit] == rows[p]).mean(axis=1) >= least]
-                    a += [names[p]] * len(hit)
-                    b += [names[k] for k in hit]
+                    if len(hit):
+                        joined = np.unique(tree[np.append(hit, p) - lo])
+                        tree[np.isin(tree, joined)] = joined[0]
+                for k in np.flatnonzero(tree != np.arange(hi - lo)):
+                    a.append(names[lo + k])
+                    b.append(names[lo + tree[k]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return run
 
 
+def _in_blocks(percent: int):
+    """mapInArrow over (clump, block): the probes' full sets against the members', where the classes differ."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in streams(batches, ["clump", "block"], most=1024):
+            names, kinds = batch.column("set").to_pylist(), batch.column("root").to_pylist()
+            code = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
+            root, probe = np.array([code[k] for k in kinds]), batch.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+            size = np.array([len(x) for x in sets])
+            a, b = [], []
+            for lo, hi in _groups(batch, ["clump", "block"]):
+                own = np.arange(lo, hi)
+                member, probes = own[~probe[lo:hi]], own[probe[lo:hi]]
+                if not len(member) or not len(probes):
+                    continue
+                value, owner = np.concatenate([sets[k] for k in member]), np.repeat(np.arange(len(member)), size[member])
+                order = np.argsort(value, kind="stable")
+                value, owner = value[order], owner[order]
+                for p in probes:
+                    first, last = np.searchsorted(value, sets[p], "left"), np.searchsorted(value, sets[p], "right")
+                    run_ = last - first
+                    at = np.repeat(first - (np.cumsum(run_) - run_), run_) + np.arange(run_.sum())
+                    both = np.bincount(owner[at], minlength=len(member))
+                    linked = (100 * both >= percent * (size[member] + size[p] - both)) & (root[member] != root[p])
+                    a += [names[p]] * int(linked.sum())
+                    b += [names[k] for k in member[linked]]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def _clump_links(clumps: DataFrame, roots: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between classes within clumps of sets that may be linked.
+
+    A clump's largest class is dealt over blocks; sets of its other classes meet every block.
+    """
+    placed = clumps.select(F.col("node").alias("set"), F.col("root").alias("clump")).join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    tally = placed.groupBy("clump", "root").agg(F.count("*").alias("k"))
+    main = tally.groupBy("clump").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("m")).withColumn("blocks", F.ceil(F.col("m") / SET_BLOCK).cast("int"))
+    placed = placed.join(main, "clump").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    probes = placed.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = placed.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True))).join(full, "set")
+    rows = rows.select("clump", "block", "set", "root", "probe", "shingles").repartition("clump", "block").sortWithinPartitions("clump", "block")
+    return cut(rows.mapInArrow(_in_blocks(percent), PAIR).distinct())
+
+
 PAIR = "a binary, b binary"
 
 
@@ -207,11 +267,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = cut(texts.mapInArrow(_sign(width, bands, rows), f"id {id_type}, n bigint, set binary, bands array<bigint>, sketch binary"))
     nodes = cut(signed.where("set is not null").groupBy("set").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
-    entries = nodes.select("set", F.explode("bands").alias("bucket"))
-    same = entries.groupBy("bucket").agg(F.count("*").alias("m"), F.min("set").alias("lo"), F.max("set").alias("hi"), F.bit_xor(F.xxhash64("set")).alias("sum"))
-    buckets = same.where("m > 1").groupBy("m", "lo", "hi", "sum").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
+    # Buckets are found on 64-bit node numbers; two nodes with one number are only proposed together.
+    entries = nodes.select(F.xxhash64("set").alias("node"), F.explode("bands").alias("bucket"))
+    same = entries.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor("node").alias("sum"), F.min("node").alias("lo"))
+    buckets = same.where("m > 1").groupBy("m", "lo", "sum").agg(F.min("bucket").alias("bucket")).select("bucket", "m")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = cut(entries.join(buckets, "bucket").withColumn("block", F.pmod(F.xxhash64("set"), blocks).cast("int")).withColumn("blocks", blocks))
+    members = entries.join(buckets, "bucket").join(nodes.select(F.xxhash64("set").alias("node"), "set"), "node")
+    members = cut(members.select("bucket", "set", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")))
 
     def listed(df: DataFrame, *extra: str) -> DataFrame:
         return df.join(nodes.select("set", "sketch"), "set").select("bucket", "block", "set", "sketch", *extra).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
@@ -235,9 +297,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     open_ = cut(placed.join(mixed, "bucket"))
     probes = open_.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
     facing = listed(open_.withColumn("probe", F.lit(False)).unionByName(probes), "root", "probe").mapInArrow(_across(least), PAIR)
-    second = links(facing)
-    joined = first.unionByName(second)
-    roots = components(joined) if not second.isEmpty() else roots
+    clumps = cut(components(facing))
+    if not clumps.isEmpty():
+        second = _clump_links(clumps, roots, full, percent)
+        roots = components(first.unionByName(second)) if not second.isEmpty() else roots
 
     classes = nodes.select("set", "id").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     least_id = classes.groupBy("root").agg(F.min("id").alias("component_id"))
