@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dossier.llm.common import table
+from dossier.llm.fingerprint import compared_with_next
 from dossier.llm.line_dedup import repeated_units
 from dossier.llm.mixing import mix_sources
 from dossier.llm.near_dedup import near_duplicates
@@ -15,6 +16,10 @@ def op1_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op2_fingerprints(spark, sf_dir):
+    return compared_with_next(table(spark, sf_dir, "documents"))
+
+
 #: Where the public vocabulary files are; a parameter of every query that needs tokens.
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -45,7 +50,7 @@ def op10_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op3_packing, op5_sharding, op7_mixing, op8_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_fingerprints, op3_packing, op5_sharding, op7_mixing, op8_line_dedup, op10_quality)}
 
 ORACLE: dict[str, str] = {
     "op7_mixing": r"""
