@@ -11,7 +11,8 @@ import numpy as np
 
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: A second, independent multiplier, for 128-bit names.
+BASE_TWO = 0xC2B2AE3D27D4EB4F
 #: Bytes of a batch that are worked on at once.
 SLICE_BYTES = 8 << 20
 
@@ -78,19 +79,23 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return have[:n]
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
+def prefix(buf: np.ndarray, base: int = BASE) -> np.ndarray:
     """Running polynomial sums; ``span_hash`` turns two of them into the hash of a byte span."""
     out = np.zeros(len(buf) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(len(buf)), out=out[1:])
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(len(buf), base), out=out[1:])
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def inverse(base: int = BASE) -> int:
+    return pow(base, -1, 1 << 64)
+
+
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
     """Position-free 64-bit hashes of ``buf[start:end]``; the length takes part."""
     with np.errstate(over="ignore"):
-        inverse = powers(len(sums), BASE_INVERSE)
-        return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        back = powers(len(sums), inverse(base))
+        return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:

@@ -41,8 +41,8 @@ def units(buf: np.ndarray, off: np.ndarray, min_words: int):
     for seed in (0x243F6A8885A308D3, 0x13198A2E03707344):
         with np.errstate(over="ignore"):
             sums = np.concatenate(([np.uint64(0)], np.cumsum(flat.mix(token ^ np.uint64(seed)) * flat.powers(n))))
-            inverse = flat.powers(n + 1, flat.BASE_INVERSE)
-            names.append(flat.mix((sums[last] - sums[first]) * inverse[first] + size.astype(np.uint64)))
+            back = flat.powers(n + 1, flat.inverse())
+            names.append(flat.mix((sums[last] - sums[first]) * back[first] + size.astype(np.uint64)))
     keep = size >= min_words
     return owner[keep], number[keep], start[first[keep]], end[last[keep] - 1], size[keep], names[0][keep], names[1][keep]
 

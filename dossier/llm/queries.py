@@ -10,6 +10,7 @@ from dossier.llm.near_dedup import near_duplicates
 from dossier.llm.packing import pack_documents
 from dossier.llm.quality import score_quality
 from dossier.llm.sharding import shard_documents
+from dossier.llm.substring_dedup import remove_repeats
 
 
 def op1_near_dedup(spark, sf_dir):
@@ -38,6 +39,10 @@ def op5_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op7_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_fingerprints, op3_packing, op5_sharding, op7_mixing, op8_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_fingerprints, op3_packing, op5_sharding, op6_substring_dedup, op7_mixing, op8_line_dedup, op10_quality)}
 
 ORACLE: dict[str, str] = {
     "op7_mixing": r"""
