@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dossier.llm.ann import nearest
 from dossier.llm.common import table
 from dossier.llm.fingerprint import compared_with_next
 from dossier.llm.line_dedup import repeated_units
@@ -51,11 +52,15 @@ def op8_line_dedup(spark, sf_dir):
     return repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_fingerprints, op3_packing, op5_sharding, op6_substring_dedup, op7_mixing, op8_line_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_fingerprints, op3_packing, op5_sharding, op6_substring_dedup, op7_mixing, op8_line_dedup, op9_neighbours, op10_quality)}
 
 ORACLE: dict[str, str] = {
     "op7_mixing": r"""
