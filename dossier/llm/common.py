@@ -12,15 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that all executors share; lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where none is set
-    (tests, one machine) a temporary one is used.
+    Only where none is set (tests, one machine) it is a temporary one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="dossier-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder; lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dossier.llm.ann import nearest
 from dossier.llm.common import table
 from dossier.llm.fingerprint import compared_with_next
+from dossier.llm.html_text import extract_text
 from dossier.llm.line_dedup import repeated_units
 from dossier.llm.mixing import mix_sources
 from dossier.llm.near_dedup import near_duplicates
@@ -36,6 +37,10 @@ def op3_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path())
 
 
+def op4_html_text(spark, sf_dir):
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -60,7 +65,7 @@ def op10_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_fingerprints, op3_packing, op5_sharding, op6_substring_dedup, op7_mixing, op8_line_dedup, op9_neighbours, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_fingerprints, op3_packing, op4_html_text, op5_sharding, op6_substring_dedup, op7_mixing, op8_line_dedup, op9_neighbours, op10_quality)}
 
 ORACLE: dict[str, str] = {
     "op7_mixing": r"""
