@@ -39,19 +39,21 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
 
-    def lows(both: DataFrame) -> DataFrame:
-        return both.join(both.groupBy("a").agg(F.min("b").alias("m")), "a")
-
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(edges)
     for _ in range(most_rounds):
         if not seen[0]:
             break
+        tasks = seen[0] // 50_000 + 8  # few edges don't need a file for each of many partitions
+
+        def lows(both: DataFrame, tasks=tasks) -> DataFrame:
+            return both.join(both.groupBy("a").agg(F.min("b").alias("m")), "a").coalesce(tasks)
+
+        edges = edges.coalesce(tasks)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = lows(both).select("b", F.col("a"), F.least("a", "m").alias("m")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = lows(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct().coalesce(tasks)
         small = lows(large)
-        edges = cut(small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").where("a <> b").distinct())
+        edges = cut(small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").where("a <> b").distinct().coalesce(tasks))
         now = mark(edges)
         if now == seen:
             break
