@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from dossier.plans import text
+
+QUERIES = {**text.QUERIES}
+ORACLE = {**text.ORACLE}
