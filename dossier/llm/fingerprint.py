@@ -17,6 +17,8 @@ from dossier.llm.sharding import looked_up
 COORDINATES = 64
 #: Longer words count as pieces of this many bytes, so that a text without white space has parts, too.
 PIECE = 16
+#: Bytes of texts that are sampled at once; each distinct term among them holds three numbers a coordinate.
+SLICE_BYTES = 1 << 20
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -62,8 +64,9 @@ def samples(buf: np.ndarray, off: np.ndarray, coordinates: int = COORDINATES) ->
         return out
     distinct, inverse = np.unique(name, return_inverse=True)
     at = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1, [len(row)]))
-    table = [draws(distinct[k : k + 4096], coordinates) for k in range(0, len(distinct), 4096)]
-    r, log_c, beta = (np.concatenate(t) for t in zip(*table, strict=True))
+    r, log_c, beta = (np.empty((len(distinct), coordinates), np.float32) for _ in range(3))
+    for k in range(0, len(distinct), 4096):
+        r[k : k + 4096], log_c[k : k + 4096], beta[k : k + 4096] = draws(distinct[k : k + 4096], coordinates)
     log_w = np.log(weight)
     with np.errstate(over="ignore"):
         for lo, hi in zip(at[:-1], at[1:], strict=True):
@@ -109,7 +112,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
         for batch in batches:
             buf, off = flat.columns(batch, "text")
-            for i, j in flat.slices(off):
+            for i, j in flat.slices(off, SLICE_BYTES):
                 sample = samples(buf[off[i] : off[j]], off[i : j + 1] - off[i], coordinates)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([_hex(s) for s in sample], pa.string())], ["doc_id", "fingerprint"])
 
@@ -127,7 +130,7 @@ def _compare(coordinates: int):
         held = None
         for batch in batches:
             _, off = flat.columns(batch, "text")
-            for i, j in flat.slices(off):
+            for i, j in flat.slices(off, SLICE_BYTES):
                 part = pa.Table.from_batches([batch.slice(i, j - i)])
                 held = part if held is None else pa.concat_tables([held, part])
                 texts = held.column("text").to_pylist()
