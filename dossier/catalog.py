@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.plans import text
+from dossier.plans import pages, text
 
-QUERIES = {**text.QUERIES}
-ORACLE = {**text.ORACLE}
+QUERIES = {**text.QUERIES, **pages.QUERIES}
+ORACLE = {**text.ORACLE, **pages.ORACLE}
