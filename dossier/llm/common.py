@@ -29,6 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys that are broadcast at most; some tens of bytes each.
+MOST_BROADCAST = 2_000_000
+
+
+def checked_broadcast(keys: DataFrame) -> DataFrame:
+    """Written keys, with a broadcast hint only if their count allows it; beyond it the join shuffles."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+
+
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """Connected components of ``edges(a, b)`` as (node, root): root is the least node of its component.
 

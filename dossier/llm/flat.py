@@ -14,7 +14,7 @@ BASE = 0x9E3779B97F4A7C15
 #: A second, independent multiplier, for 128-bit names.
 BASE_TWO = 0xC2B2AE3D27D4EB4F
 #: Bytes of a batch that are worked on at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def ship() -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import flat
-from dossier.llm.common import cut, streams
+from dossier.llm.common import checked_broadcast, cut, streams
 from dossier.llm.suffixes import suffix_array
 
 GRAM = 32
@@ -95,15 +95,18 @@ def _extract(length: int):
     def run(batches):
         import pyarrow as pa
 
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
         for batch in batches:
-            texts, listed = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for k, (text, runs) in enumerate(zip(texts, listed, strict=True)):
-                raw = text.encode()
-                at = pa.array([k] * len(runs))
-                columns = [[r[c] for r in runs] for c in ("anchor", "first", "lead", "open", "hot")]
-                parts = [raw[r["first"] : r["last"] + length] for r in runs]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], pa.array(parts, pa.binary())], ["id", "th", "anchor", "first", "lead", "open", "hot", "part"])
+            for lo in range(0, batch.num_rows, 256):
+                slice_ = batch.slice(lo, 256)
+                listed, texts = slice_.column(3).to_pylist(), slice_.column(2).to_pylist()
+                at = pa.array([k for k, runs in enumerate(listed) for _ in runs], pa.int64())
+                columns = [pa.array([r[c] for runs in listed for r in runs], t) for c, t in zip(("anchor", "first", "lead", "open", "hot"), kinds, strict=True)]
+                parts = []
+                for text, runs in zip(texts, listed, strict=True):
+                    raw = text.encode()
+                    parts += [raw[r["first"] : r["last"] + length] for r in runs]
+                yield pa.RecordBatch.from_arrays([slice_.column(0).take(at), slice_.column(1).take(at), *columns, pa.array(parts, pa.binary())], ["id", "th", "anchor", "first", "lead", "open", "hot", "part"])
 
     return run
 
@@ -239,7 +242,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int):
     mine = f"id {id_type}, th bigint"
     anchors = texts.select("text").mapInArrow(_list_anchors(length), "anchor bigint").groupBy("anchor").count().where("count > 1").select("anchor")
     runs = texts.mapInArrow(_list_runs(length), f"{mine}, anchor bigint, h1 bigint, h2 bigint, first int, last int, lead int")
-    runs = cut(runs.join(anchors, "anchor", "left_semi"))
+    runs = cut(runs.join(checked_broadcast(anchors), "anchor", "left_semi"))
 
     one = F.struct("id", "th", "first")
     contents = runs.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("k"), F.min(one).alias("one"))
@@ -248,9 +251,9 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int):
 
     held = runs.where("open or one").groupBy("anchor").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any").select("anchor", (F.col("n") > MOST_RUNS).alias("hot"))
     listed = runs.where("open or one").join(held, "anchor").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "first", "last", "lead", "open", "hot")).alias("runs"))
-    touched = runs.select("id", "th").distinct()
+    touched = checked_broadcast(runs.select("id", "th").distinct())
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    some = cut(texts.join(touched, same(texts, touched), "left_semi").dropDuplicates(["id", "th"]))
+    some = cut(texts.join(touched, same(texts, touched), "left_semi"))
     parts = some.join(listed, same(some, listed)).select(some["id"], some["th"], "text", "runs")
     parts = cut(parts.mapInArrow(_extract(length), f"{mine}, anchor bigint, first int, lead int, open boolean, hot boolean, part binary"))
     found = parts.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), f"{mine}, start int, end int")
@@ -287,7 +290,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
                 sha.append(hashlib.sha256(rest(text.encode(), runs)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["id", "th", "removed", "spans", "sha"])
 
-    cuts = some.join(spans, same(some, spans)).select(some["id"], some["th"], "text", "spans").mapInArrow(measure, f"id {some.schema['id'].dataType.simpleString()}, th bigint, removed bigint, spans bigint, sha string")
+    cuts = some.join(spans, same(some, spans)).select(some["id"], some["th"], "text", "spans").mapInArrow(measure, f"id {some.schema['id'].dataType.simpleString()}, th bigint, removed bigint, spans bigint, sha string").dropDuplicates(["id", "th"])
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     out = rows.join(cuts, same(rows, cuts), "left")
