@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.plans import pages, text
+from dossier.plans import pages, releases, text
 
-QUERIES = {**text.QUERIES, **pages.QUERIES}
-ORACLE = {**text.ORACLE, **pages.ORACLE}
+QUERIES = {**text.QUERIES, **pages.QUERIES, **releases.QUERIES}
+ORACLE = {**text.ORACLE, **pages.ORACLE, **releases.ORACLE}
