@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm.common import shared_folder, table
+from dossier.llm.common import checked_broadcast, cut, shared_folder, table
 from dossier.llm.mixing import mixed_documents
 from dossier.llm.near_dedup import near_duplicates
 from dossier.llm.packing import pack_documents
@@ -21,16 +21,24 @@ from dossier.llm.queries import tokenizer_path
 from dossier.llm.substring_dedup import without_repeats
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is listed. Ids are broadcast while their count allows it, so that texts aren't shuffled for it."""
+    ids = checked_broadcast(ids)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones."""
     good = score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]), "left_semi")
+    return _only(docs, good)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the least id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(docs.columns)
+    kept = cut(near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")))
+    rows, ids = kept.agg(F.count("*"), F.count_distinct(F.struct("_id"))).first()
+    left = _only(docs, kept.distinct())
+    return left if rows == ids else left.dropDuplicates(docs.columns)  # repeated rows are copies, too
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
