@@ -13,11 +13,15 @@ SKETCH, SHINGLE, GAP, BASE = 192, 6, -0.05, 0.45
 
 
 def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
-    """(doc_id, sketch, complete): the ``k`` least hashes of the distinct character six-grams of a document's first page."""
+    """(doc_id, sketch, complete, keys): the ``k`` least hashes of the distinct character six-grams of a document's first page.
+
+    keys are the 8 least hashes of its runs of four words, by which pairs that are worth scoring meet.
+    """
     words = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 408)
-    shingled = docs.select("doc_id", F.array_join(F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-zÀ-￿0-9]+", "")), " ").alias("t"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.substring(F.md5(F.array_join(F.slice(words, i, F.lit(4)), " ")), 1, 15))
+    shingled = docs.select("doc_id", F.slice(F.array_sort(F.array_distinct(runs)), 1, 8).alias("keys"), F.array_join(F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-zÀ-￿0-9]+", "")), " ").alias("t"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - SHINGLE + 1, F.lit(1))), lambda i: F.substring(F.md5(F.substr(F.col("t"), i, F.lit(SHINGLE))), 1, 15))
-    return shingled.select("doc_id", F.array_sort(F.array_distinct(grams)).alias("all")).select("doc_id", F.slice("all", 1, k).alias("sketch"), (F.size("all") <= k).alias("complete"))
+    return shingled.select("doc_id", "keys", F.array_sort(F.array_distinct(grams)).alias("all")).select("doc_id", "keys", F.slice("all", 1, k).alias("sketch"), (F.size("all") <= k).alias("complete"))
 
 
 def jaccard(pairs: DataFrame, k: int = SKETCH) -> DataFrame:
@@ -28,10 +32,10 @@ def jaccard(pairs: DataFrame, k: int = SKETCH) -> DataFrame:
     return pairs.withColumn("jaccard", F.when(F.col("a_complete") & F.col("b_complete"), F.size(both) / F.size(either)).otherwise(estimate))
 
 
-def candidates(old: DataFrame, new: DataFrame, keys: int = 16) -> DataFrame:
-    """Pairs of documents that share one of the least sketch values: an inverted join, not a cross join."""
-    a = old.select(F.col("doc_id").alias("a"), F.explode(F.slice("sketch", 1, keys)).alias("v"))
-    b = new.select(F.col("doc_id").alias("b"), F.explode(F.slice("sketch", 1, keys)).alias("v"))
+def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Pairs of documents that share a key: an inverted join, not a cross join."""
+    a = old.select(F.col("doc_id").alias("a"), F.explode("keys").alias("v"))
+    b = new.select(F.col("doc_id").alias("b"), F.explode("keys").alias("v"))
     pairs = a.join(b, "v").select("a", "b").distinct()
     return pairs.join(old.select(F.col("doc_id").alias("a"), F.col("sketch").alias("a_sketch"), F.col("complete").alias("a_complete")), "a").join(new.select(F.col("doc_id").alias("b"), F.col("sketch").alias("b_sketch"), F.col("complete").alias("b_complete")), "b")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import formats
 from dossier.operators import compare, search, series
+from dossier.operators.lineage import written
 from dossier.sources.corpus import WORDS_SQL, table, tokens, words
 from dossier.streaming import watch
 
@@ -39,10 +40,12 @@ def q_stamp_prefix(spark, sf_dir):
     return o.where(F.startswith("stamp", F.lit("000001"))).orderBy("stamp").limit(6)
 
 
-def _releases(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+def _sketched(spark, sf_dir):
+    """Sketches of the two releases, computed once."""
     old = F.regexp_extract("source", r"(\d+)$", 1).cast("int") < 10
-    return d.where(old), d.where(~old)
+    docs = table(spark, sf_dir, "documents")
+    kept = written(compare.sketches(docs).join(docs.select("doc_id", old.alias("old")), "doc_id"))
+    return kept.where("old"), kept.where("not old")
 
 
 def q_shingle_sketch(spark, sf_dir):
@@ -50,17 +53,17 @@ def q_shingle_sketch(spark, sf_dir):
 
 
 def q_jaccard(spark, sf_dir):
-    old, new = (compare.sketches(d) for d in _releases(spark, sf_dir))
+    old, new = _sketched(spark, sf_dir)
     return compare.jaccard(compare.candidates(old, new)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def q_doc_pairs(spark, sf_dir):
-    old, new = (compare.sketches(d) for d in _releases(spark, sf_dir))
+    old, new = _sketched(spark, sf_dir)
     return compare.mutual_best(compare.jaccard(compare.candidates(old, new)).withColumn("score", F.round("jaccard", 6)), "score", 0.3)
 
 
 def q_margin(spark, sf_dir):
-    old, new = (compare.sketches(d) for d in _releases(spark, sf_dir))
+    old, new = _sketched(spark, sf_dir)
     scores = compare.jaccard(compare.candidates(old, new)).select("a", "b", F.round("jaccard", 6).alias("score"))
     return compare.margins(scores).select("a", "b", F.round("margin", 6).alias("margin"))
 
@@ -167,10 +170,10 @@ def q_findings(spark, sf_dir):
 
 _STAMPS = "stamps as (select o_custkey as series, o_orderkey as value from orders)"
 _SKETCH = """raw as (select doc_id, source, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:408] as ws from documents),
-  tx as (select doc_id, source, array_to_string(list_transform(ws, lambda w: regexp_replace(lower(w), '[^a-zÀ-￯0-9]+', '', 'g')), ' ') as t from raw),
-  gr as (select doc_id, source, list_sort(list_distinct(list_transform(range(1, greatest(length(t) - 5, 1) + 1), lambda i: md5(substring(t, i, 6))[1:15]))) as a from tx),
-  sk as (select doc_id, regexp_extract(source, '(\\d+)$', 1)::int < 10 as old, a[1:192] as sketch, len(a) <= 192 as complete from gr)"""
-_JACC = f"""{_SKETCH}, ke as (select doc_id, old, unnest(sketch[1:16]) as v from sk), ca as (select distinct a.doc_id as a, b.doc_id as b from ke a join ke b on a.v = b.v and a.old and not b.old),
+  tx as (select doc_id, source, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: md5(array_to_string(ws[i:i + 3], ' '))[1:15])))[1:8] as keys, array_to_string(list_transform(ws, lambda w: regexp_replace(lower(w), '[^a-zÀ-￯0-9]+', '', 'g')), ' ') as t from raw),
+  gr as (select doc_id, source, keys, list_sort(list_distinct(list_transform(range(1, greatest(length(t) - 5, 1) + 1), lambda i: md5(substring(t, i, 6))[1:15]))) as a from tx),
+  sk as (select doc_id, regexp_extract(source, '(\\d+)$', 1)::int < 10 as old, keys, a[1:192] as sketch, len(a) <= 192 as complete from gr)"""
+_JACC = f"""{_SKETCH}, ke as (select doc_id, old, unnest(keys) as v from sk), ca as (select distinct a.doc_id as a, b.doc_id as b from ke a join ke b on a.v = b.v and a.old and not b.old),
   ja as (select ca.a, ca.b, case when x.complete and y.complete then len(list_intersect(x.sketch, y.sketch)) / len(list_distinct(list_concat(x.sketch, y.sketch)))::double
     else len(list_intersect(list_sort(list_distinct(list_concat(x.sketch, y.sketch)))[1:192], list_intersect(x.sketch, y.sketch))) / len(list_sort(list_distinct(list_concat(x.sketch, y.sketch)))[1:192])::double end as j
    from ca join sk x on x.doc_id = ca.a join sk y on y.doc_id = ca.b), js as (select a, b, round(j, 6) as score from ja)"""
@@ -211,6 +214,10 @@ ORACLE = {
     "q_parse_size": """select p_partkey, asked, case p_partkey % 5 when 0 then p_size::bigint * 1024 when 1 then p_size::bigint * 1048576 when 2 then p_size::bigint * 1073741824 when 3 then p_size::bigint end as bytes
       from (select p_partkey, p_size, p_size || (['KB', ' m', 'GiB', '', ' apples'])[p_partkey % 5 + 1] as asked from part)""",
     "q_pdf_date": """select o_orderkey, case o_orderkey % 3 when 0 then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+02:00') when 1 then strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') else strftime(o_orderdate, 'D:%Y%m%d%H%M%S odd') end as iso from orders""",
+    "q_findings": f"""with {WORDS_SQL}, meet as (select distinct w.doc_id, w.page, w.pos, w.x, w.w from words w join redactions r on w.doc_id = r.doc_id and w.page = r.page and w.x < r.x + r.w and r.x < w.x + w.w and w.y < r.y + r.h and r.y < w.y + w.h
+        where (least(w.x + w.w, r.x + r.w) - greatest(w.x, r.x)) * (least(w.y + w.h, r.y + r.h) - greatest(w.y, r.y)) / (w.w * w.h) > 0.8),
+      i as (select *, pos - row_number() over (partition by doc_id, page order by pos) as island from meet)
+      select doc_id, page, min(pos) as first_pos, count(*) as n_tokens, round(max(x + w), 6) as x2 from i group by doc_id, page, island""",
     "q_bursts_by_type": "select event_type, date_trunc('day', ts)::timestamp as day, count(*) as n_events, round(sum(value), 4) as total from events group by all",
 }
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}

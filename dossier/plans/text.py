@@ -31,7 +31,7 @@ def q_stopword_ratio(spark, sf_dir):
 
 
 def q_detect_language(spark, sf_dir):
-    return quality.languages(tokens(table(spark, sf_dir, "documents")), stopwords.frame(spark)).select("doc_id", "language", F.round("confidence", 6).alias("confidence"))
+    return quality.languages(tokens(table(spark, sf_dir, "documents")), stopwords.frame(spark)).select("doc_id", "language", "confidence")
 
 
 def q_script(spark, sf_dir):
@@ -112,7 +112,7 @@ ORACLE = {
     "q_detect_language": f"""with {TOKENS_SQL}, {stopwords.VALUES_SQL}, {_RATIO},
       r as (select *, row_number() over (partition by doc_id order by ratio desc, lang) as k, lead(ratio) over (partition by doc_id order by ratio desc, lang) as next from ratio)
       select d.doc_id, coalesce(lang, 'und') as language,
-        coalesce(round(least(1.0, ratio / 0.2) * (0.35 + 0.65 * (ratio - coalesce(next, 0)) / ratio) * least(1.0, n / 40.0::double), 6), 0.0) as confidence
+        coalesce(least(1.0::double, ratio / 0.2::double) * (0.35::double + 0.65::double * ((ratio - coalesce(next, 0.0::double)) / ratio)) * least(1.0::double, n / 40.0::double), 0.0::double) as confidence
       from (select distinct doc_id from tokens) d left join (select * from r where k = 1) r using (doc_id)""",
     "q_script": "select doc_id, case when l = 0 or a >= 0.85 * l then 'latin' else 'mixed' end as script, l as n_letters from (select doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) as l, length(regexp_replace(text, '[^A-Za-zÀ-ÖØ-öø-ɏ]', '', 'g')) as a from documents)",
     "q_garbage": f"with {TOKENS_SQL} select doc_id, sum(({_GARBAGE})::int)::bigint as n_garbage, count(*) as n_tokens from tokens group by doc_id",

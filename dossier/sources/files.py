@@ -47,7 +47,7 @@ def with_unique_slugs(files: DataFrame) -> DataFrame:
 
 
 def discover(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(usable, skipped) files below ``root``; contents are hashed on the executors and not kept."""
+    """(usable, skipped) files below ``root``; contents are hashed on the executors and not kept. Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     files = files.select("path", name.alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), kind_of(F.col("content"), name, F.col("length")).alias("kind"))
