@@ -107,10 +107,10 @@ def _confirm(percent: int):
         import pyarrow as pa
 
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            left, right = batch.column(2), batch.column(3)
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i in range(batch.num_rows):
+                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
@@ -139,7 +139,7 @@ def _stars(least: float):
     def run(batches):
         import pyarrow as pa
 
-        for batch in streams(batches, ["bucket", "block"]):
+        for batch in streams(batches, ["bucket", "block"], most=1 << 14):
             names, all_rows = batch.column("set").to_pylist(), _sketches(batch)
             a, b = [], []
             for lo, hi in _groups(batch, ["bucket", "block"]):
@@ -171,7 +171,7 @@ def _across(least: float):
     def run(batches):
         import pyarrow as pa
 
-        for batch in streams(batches, ["bucket", "block"]):
+        for batch in streams(batches, ["bucket", "block"], most=1 << 14):
             names, kinds = batch.column("set").to_pylist(), batch.column("root").to_pylist()
             code = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
             root = np.array([code[k] for k in kinds])
@@ -201,11 +201,12 @@ def _in_blocks(percent: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in streams(batches, ["clump", "block"], most=1024):
+        for batch in streams(batches, ["clump", "block"], most=256):
             names, kinds = batch.column("set").to_pylist(), batch.column("root").to_pylist()
             code = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
             root, probe = np.array([code[k] for k in kinds]), batch.column("probe").to_numpy(zero_copy_only=False).astype(bool)
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+            column = batch.column("shingles")
+            sets = [np.frombuffer(column[k].as_buffer(), np.uint64) for k in range(batch.num_rows)]
             size = np.array([len(x) for x in sets])
             a, b = [], []
             for lo, hi in _groups(batch, ["clump", "block"]):

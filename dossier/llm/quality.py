@@ -202,7 +202,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     fit = measured.join(known, "doc_id").where(~held_out).orderBy(F.md5(F.col("doc_id").cast("string")), F.md5(F.col("stats").cast("string"))).limit(sample).select("stats", "quality").collect()
-    model = grow(np.array([r["stats"] for r in fit], np.float32).reshape(len(fit), -1), np.array([r["quality"] >= 0.5 for r in fit], np.float64))
+    model = grow(np.array([r["stats"] for r in fit], np.float32).reshape(len(fit), len(FEATURES)), np.array([r["quality"] >= 0.5 for r in fit], np.float64))
 
     def score(batches):
         import pyarrow as pa
