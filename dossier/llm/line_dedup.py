@@ -79,6 +79,7 @@ def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     listed = cut(texts.mapInArrow(_list_units(min_words), f"doc_id {id_type}, {UNIT}"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("unit"))
     firsts = listed.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("occurrences")).where("occurrences > 1")
+    firsts = cut(firsts)  # written, so that a frequent unit's side of the join can be split at run time
     later = listed.join(firsts, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("unit") == F.col("first.unit"))))
     return later.select("doc_id", "unit", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"), "occurrences")
 
