@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dossier.functions import geometry as g
-from dossier.operators import spatial
+from dossier.functions import markup
+from dossier.operators import codes, spatial
 from dossier.sources.corpus import WORDS_SQL, redactions, table, words
 
 PAGE = ["doc_id", "page"]
@@ -164,6 +165,25 @@ def q_code_set_diff(spark, sf_dir):
     return both.select("doc_id", F.array_join(F.array_except("next", "codes"), ",").alias("added"), F.array_join(F.array_except("codes", "next"), ",").alias("removed"))
 
 
+#: The codes of the fixtures, in the order of their statute.
+VOCABULARY = [f"(b)({k})" for k in range(1, 10)]
+
+
+def q_legend(spark, sf_dir):
+    """Codes found with their places in the texts, in the vocabulary's order."""
+    return codes.legend(codes.codes(_coded(spark, sf_dir), VOCABULARY), VOCABULARY)
+
+
+def q_markdown(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", markup.rendered(F.col("text")).alias("html"))
+
+
+def q_cite(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("t"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 7).alias("p"), F.when(F.col("doc_id") % 3 == 0, F.lit("2024-01-02")).alias("d"))
+    none = F.lit(None).cast("string")
+    return d.select("doc_id", markup.citation("note", F.col("t"), F.col("p"), F.col("d"), none).alias("note"), markup.citation("link", F.col("t"), F.col("p"), F.col("d"), none).alias("link"))
+
+
 def q_associate(spark, sf_dir):
     """Each box with the nearest word of its line that no box touches: gap in page heights, ties to the earlier word."""
     w, r = _both(spark, sf_dir)
@@ -229,6 +249,9 @@ ORACLE = {
     "q_code_counts": f"with {_CODED} select code, count(distinct doc_id) as n_documents from hits group by code",
     "q_code_set_diff": f"""with {_CODED}, s as (select doc_id, list_sort(list(distinct code)) as codes from hits group by doc_id), t as (select *, lead(codes) over (order by doc_id) as next from s)
       select doc_id, array_to_string(list_filter(next, lambda c: not list_contains(codes, c)), ',') as added, array_to_string(list_filter(codes, lambda c: not list_contains(next, c)), ',') as removed from t where next is not null""",
+    "q_legend": f"with {_CODED} select code, count(distinct doc_id) as n_documents, regexp_extract(code, '([1-9])\\)$', 1)::int as place from hits group by code",
+    "q_cite": """select doc_id, t || coalesce(d, '') || coalesce(p, '') as note, '[' || t || coalesce(p, '') || '](#)' as link from (select doc_id, 'Doc ' || doc_id as t,
+      case when doc_id % 2 = 0 then ', p. ' || (doc_id % 7) end as p, case when doc_id % 3 = 0 then ' (2024-01-02)' end as d from documents)""",
     "q_associate": f"""with {WORDS_SQL}, {_MEET}, f as (select * from words w where not exists (select 1 from meet m where m.doc_id = w.doc_id and m.page = w.page and m.pos = w.pos)),
       p as (select r.doc_id, r.page, r.rid, f.pos, round(greatest(0.0, f.x - r.x - r.w, r.x - f.x - f.w), 9) as gap from redactions r join f on r.doc_id = f.doc_id and r.page = f.page and r.y = f.y)
       select doc_id, page, rid, pos from (select *, row_number() over (partition by doc_id, page, rid order by gap, pos) as k from p) where k = 1 and gap <= 0.05""",
