@@ -80,6 +80,7 @@ def _sign(width: int, bands: int, rows: int):
                     ],
                     ["id", "n", "set", "bands", "sketch"],
                 )
+        flat.trim()
 
     return run
 

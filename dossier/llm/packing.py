@@ -60,7 +60,7 @@ class Tokens:
     """Token ids of whole batches: each distinct chunk is encoded once and its ids are gathered."""
 
     #: Distinct chunks that are remembered.
-    KEPT = 1 << 20
+    KEPT = 1 << 19
 
     def __init__(self, tokenizer: str):
         import base64
@@ -82,13 +82,15 @@ class Tokens:
         self.clear()
 
     def clear(self):
-        self.number, self.ids, self.starts, self.total = {}, [], [0], 0
+        from array import array
 
-    def encode(self, chunk: bytes) -> np.ndarray:
+        self.number, self.ids, self.starts = {}, array("I"), array("q", [0])
+
+    def encode(self, chunk: bytes) -> list[int]:
         text = chunk.decode()
         if self.fast is None or "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.fast.encode_ordinary(text), np.uint32)
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
     def __call__(self, buf: np.ndarray, off: np.ndarray):
         """(ids, offsets of the rows' ids)."""
@@ -106,13 +108,11 @@ class Tokens:
         for k, (h, p) in enumerate(zip(distinct.tolist(), place.tolist(), strict=True)):
             at = number.get(h)
             if at is None:
-                at = number[h] = len(ids)
-                own = self.encode(raw[start[p] : end[p]])
-                ids.append(own)
-                self.total += len(own)
-                starts.append(self.total)
+                at = number[h] = len(starts) - 1
+                ids.extend(self.encode(raw[start[p] : end[p]]))
+                starts.append(len(ids))
             known[k] = at
-        pool, at = np.concatenate(ids), np.array(starts)
+        pool, at = np.array(ids, np.uint32), np.array(starts)
         of = known[inverse]
         size = at[of + 1] - at[of]
         last = np.cumsum(size)
@@ -144,6 +144,8 @@ def _tokenize(tokenizer: str, capacity: int):
                     sizes.append(len(own))
                     sums.append([zlib.crc32(own[s : s + n].tobytes()) for s, n in pieces(len(own), capacity)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "crcs"])
+        del tokens
+        flat.trim()
 
     return run
 

@@ -185,6 +185,7 @@ def _measure(batches):
         for i, j in flat.slices(off):
             stats = statistics(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(stats), pa.list_(pa.float32()))], ["doc_id", "stats"])
+        flat.trim()
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.7, sample: int = SAMPLE) -> DataFrame:

@@ -85,6 +85,7 @@ def _list_runs(length: int):
                 base, at = (off[i:j] - off[i])[row], pa.array(row + i)
                 numbers = (gram.view(np.int64), h1.view(np.int64), h2.view(np.int64), (first - base).astype(np.int32), (last - base).astype(np.int32), (anchor - first).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, numbers)], ["id", "th", "anchor", "h1", "h2", "first", "last", "lead"])
+        flat.trim()
 
     return run
 
