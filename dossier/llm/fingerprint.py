@@ -196,5 +196,5 @@ def compared_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     heads = F.broadcast(heads)  # one row a range, most_ranges at most
     tails = placed.alias("p").join(heads.alias("h"), (F.col("p.range") == F.col("h.range")) & F.col("p.doc_id").eqNullSafe(F.col("h.doc_id")))
     rows = placed.withColumn("tail", F.lit(False)).unionByName(tails.select(F.col("h.back").alias("range"), "p.doc_id", "p.text", F.lit(True).alias("tail")))
-    rows = rows.repartition(ranges, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
+    rows = rows.repartition(4 * ranges, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
     return rows.select("range", "tail", "doc_id", "text").mapInArrow(_compare(coordinates), f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
