@@ -104,6 +104,26 @@ def aligned(scores: DataFrame) -> DataFrame:
     return scores.groupBy("pair").applyInPandas(run, f"pair {scores.schema['pair'].dataType.simpleString()}, i bigint, j bigint")
 
 
+def confidence(score, margin, has_text, stamps_equal):
+    """certain, high, medium or low for an aligned pair; ``stamps_equal`` is null without stamps on both sides."""
+    band = F.when(score >= 0.85, 3).when(score >= 0.65, 2).when(score >= 0.45, 1).otherwise(0)
+    band = F.when(~has_text | (margin < 0.06), F.least(band, F.lit(1))).otherwise(band)
+    band = F.when(stamps_equal & (score >= 0.6), 3).when(~stamps_equal, 0).otherwise(band)
+    return F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "certain"))), band + 1)
+
+
+def bracketed(pairs: DataFrame) -> DataFrame:
+    """``pairs(pair, i, j, confidence)`` with a low one between two strong neighbours on both sides raised to medium."""
+    order = Window.partitionBy("pair").orderBy("i")
+
+    def strong(step: int):
+        near = F.lag if step < 0 else F.lead
+        beside = (near("i").over(order) == F.col("i") + step) & (near("j").over(order) == F.col("j") + step)
+        return F.coalesce(beside & near("confidence").over(order).isin("certain", "high"), F.lit(False))
+
+    return pairs.withColumn("confidence", F.when((F.col("confidence") == "low") & strong(-1) & strong(1), "medium").otherwise(F.col("confidence")))
+
+
 def box_kind(old, new):
     """unchanged, shrunk, grown or moved."""
     ratio = g.area(new) / g.area(old)

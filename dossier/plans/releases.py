@@ -75,6 +75,18 @@ def q_align(spark, sf_dir):
     return compare.aligned(a.join(b, "pair").select("pair", "i", "j", (F.least("na", "nb") / F.greatest("na", "nb")).alias("score")))
 
 
+def q_bracket(spark, sf_dir):
+    """Pairs of lines, with a confidence that the quantity decides."""
+    level = F.element_at(F.array(*map(F.lit, ("low", "high", "certain", "medium"))), (F.col("l_quantity").cast("int") % 4 + 1))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pair"), F.col("l_linenumber").alias("i")).agg(F.min("l_quantity").alias("l_quantity"))
+    return compare.bracketed(rows.select("pair", "i", F.col("i").alias("j"), level.alias("confidence")))
+
+
+def q_confidence(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("score"), F.col("l_discount").alias("margin"), (F.col("l_tax") > 0.01).alias("has_text"), F.when(F.col("l_linenumber") == 1, F.col("l_returnflag") == "R").alias("stamps_equal"))
+    return rows.groupBy(compare.confidence(*map(F.col, rows.columns)).alias("confidence")).agg(F.count("*").alias("n_pairs"))
+
+
 def q_postings(spark, sf_dir):
     return search.postings(words(table(spark, sf_dir, "documents"))).groupBy("term").agg(F.count("*").alias("n_pages"), F.sum(F.size("positions")).alias("n_hits"))
 
@@ -191,6 +203,12 @@ ORACLE = {
     "q_shingle_sketch": f"with {_SKETCH} select doc_id, len(sketch)::int as n, complete, md5(array_to_string(sketch, ',')) as sketch_md5 from sk",
     "q_jaccard": f"with {_JACC} select a, b, score as jaccard from js",
     "q_margin": f"""with {_JACC} select a, b, round(score - greatest(0.0, coalesce((select max(o.score) from js o where o.a = s.a and o.b <> s.b), 0.0), coalesce((select max(o.score) from js o where o.b = s.b and o.a <> s.a), 0.0)), 6) as margin from js s""",
+    "q_bracket": """with r as (select l_orderkey as pair, l_linenumber as i, (['low', 'high', 'certain', 'medium'])[min(l_quantity)::int % 4 + 1] as c from lineitem group by all)
+      select pair, i, i as j, case when c = 'low' and coalesce(lag(i) over w = i - 1 and lag(c) over w in ('certain', 'high'), false) and coalesce(lead(i) over w = i + 1 and lead(c) over w in ('certain', 'high'), false) then 'medium' else c end as confidence
+      from r window w as (partition by pair order by i)""",
+    "q_confidence": """with r as (select l_quantity / 50 as s, l_discount as m, l_tax > 0.01 as t, case when l_linenumber = 1 then l_returnflag = 'R' end as e from lineitem),
+      b as (select *, case when s >= 0.85 then 3 when s >= 0.65 then 2 when s >= 0.45 then 1 else 0 end as k from r)
+      select (['low', 'medium', 'high', 'certain'])[case when e and s >= 0.6 then 3 when not e then 0 when not t or m < 0.06 then least(k, 1) else k end + 1] as confidence, count(*) as n_pairs from b group by 1""",
     "q_postings": f"with {WORDS_SQL}, {_TERM} select term, count(distinct (doc_id, page)) as n_pages, count(*) as n_hits from terms where term <> '' group by term",
     "q_search_and": f"""with {WORDS_SQL}, {_TERM} select doc_id, page, count(*)::int as n_hits, array_to_string(list_sort(list(pos))[1:12], ',') as positions from terms where term in ('the', 'and', 'with') group by all having count(distinct term) = 3""",
     "q_phrase": f"with {WORDS_SQL}, {_TERM} select doc_id, page, pos from (select *, lead(term) over (partition by doc_id, page order by pos) as next from terms) where term = 'of' and next = 'the'",
