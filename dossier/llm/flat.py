@@ -13,15 +13,25 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 #: A second, independent multiplier, for 128-bit names.
 BASE_TWO = 0xC2B2AE3D27D4EB4F
-#: Bytes of a batch that are worked on at once.
-SLICE_BYTES = 2 << 20
+#: Bytes of a batch that are worked on at once; a kernel needs some hundred times as much.
+SLICE_BYTES = 512 << 10
+#: Bytes of an Arrow batch at most, in the JVM and in a worker.
+BATCH_BYTES = 8 << 20
 
 
 def ship() -> None:
-    """Send this package's functions to Python workers by value, so that executors need no copy of it."""
+    """Send this package's functions to Python workers by value, so that executors need no copy of it.
+
+    Arrow batches of the session are held to ``BATCH_BYTES``, as rows may be long; a smaller limit of its own stays.
+    """
     import sys
 
     from pyspark import cloudpickle
+    from pyspark.sql import SparkSession
+
+    conf, limit = SparkSession.active().conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(limit).removesuffix("b")) <= BATCH_BYTES:
+        conf.set(limit, str(BATCH_BYTES))
 
     package = __name__.rpartition(".")[0]
     for name, module in list(sys.modules.items()):

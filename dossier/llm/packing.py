@@ -60,17 +60,13 @@ class Tokens:
     """Token ids of whole batches: each distinct chunk is encoded once and its ids are gathered."""
 
     #: Distinct chunks that are remembered.
-    KEPT = 1 << 19
+    KEPT = 1 << 18
 
     def __init__(self, tokenizer: str):
         import base64
         import os
 
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(tokenizer)
-        self.fast = None
+        self.path, self.whole, self.fast = tokenizer, None, None
         ranks = tokenizer.removesuffix(".json") + ".tiktoken"
         if tokenizer.endswith("byte_bpe_50k.json") and os.path.exists(ranks):
             import public_tokenizers
@@ -86,6 +82,18 @@ class Tokens:
 
         self.number, self.ids, self.starts = {}, array("I"), array("q", [0])
 
+    @property
+    def tokenizer(self):
+        """The tokenizer file, read only when a chunk needs it, as it takes more memory than the ranks."""
+        if self.whole is None:
+            import os
+
+            from tokenizers import Tokenizer
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole
+
     def encode(self, chunk: bytes) -> list[int]:
         text = chunk.decode()
         if self.fast is None or "<|" in text:
