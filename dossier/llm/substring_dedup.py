@@ -245,13 +245,15 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int):
     runs = texts.mapInArrow(_list_runs(length), f"{mine}, anchor bigint, h1 bigint, h2 bigint, first int, last int, lead int")
     runs = cut(runs.join(checked_broadcast(anchors), "anchor", "left_semi"))
 
-    one = F.struct("id", "th", "first")
-    contents = runs.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("k"), F.min(one).alias("one"))
-    runs = cut(runs.join(contents, ["anchor", "h1", "h2"]).select("id", "th", "anchor", "first", "last", "lead", F.col("k").eqNullSafe(1).alias("open"), one.eqNullSafe(F.col("one")).alias("one")))
-    whole = runs.where("not open").select("id", "th", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-
-    held = runs.where("open or one").groupBy("anchor").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any").select("anchor", (F.col("n") > MOST_RUNS).alias("hot"))
-    listed = runs.where("open or one").join(held, "anchor").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "first", "last", "lead", "open", "hot")).alias("runs"))
+    # A content's first run stands for it; the others are only looked up, so that no common content is gathered in one task.
+    one = F.struct("id", "th", "first", "last", "lead")
+    contents = cut(runs.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("k"), F.min(one).alias("one")))
+    often = checked_broadcast(contents.where("k > 1").select("anchor", "h1", "h2"))
+    whole = runs.join(often, ["anchor", "h1", "h2"], "left_semi").select("id", "th", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
+    ones = contents.select("anchor", "one.*", (F.col("k") == 1).alias("open"))
+
+    held = ones.groupBy("anchor").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any").select("anchor", (F.col("n") > MOST_RUNS).alias("hot"))
+    listed = ones.join(held, "anchor").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "first", "last", "lead", "open", "hot")).alias("runs"))
     touched = checked_broadcast(runs.select("id", "th").distinct())
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
     some = cut(texts.join(touched, same(texts, touched), "left_semi"))
