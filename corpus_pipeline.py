@@ -20,6 +20,9 @@ from dossier.llm.quality import score_quality
 from dossier.llm.queries import tokenizer_path
 from dossier.llm.substring_dedup import without_repeats
 
+#: Bytes from which a repeated string is cut out of the texts: fewer than a passage of 51 words has. op6's length is its own.
+PASSAGE = 200
+
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose id is listed. Ids are broadcast while their count allows it, so that texts aren't shuffled for it."""
@@ -42,8 +45,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur again; documents of which nothing is left go."""
-    left = without_repeats(docs).where(F.length(F.trim("text")) > 0)
+    """Texts without the strings of ``PASSAGE`` bytes that occur again; documents of which nothing is left go."""
+    left = without_repeats(docs, length=PASSAGE).where(F.length(F.trim("text")) > 0)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

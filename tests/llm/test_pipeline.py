@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables."""
 
+import random
+
 import corpus_pipeline
 from dossier.llm import queries
 
@@ -16,3 +18,17 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
             assert docs.columns == columns
     assert counts[0] > counts[1] > counts[2] >= counts[3] and counts[5] >= counts[4]
     assert set(queries.ORACLE) <= set(queries.QUERIES) and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+
+
+def test_substring_stage_cuts_passages_of_just_over_50_words(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 6))) for _ in range(n))
+    passages = {n: words(n) for n in range(51, 61)}
+    own = {(n, k): (words(40), words(40)) for n in passages for k in (0, 1)}
+    rows = [(2 * n + k, f"{head} {passages[n]} {tail}") for (n, k), (head, tail) in own.items()]
+    assert all(len(p) < 400 for p in passages.values())
+    left = {r.doc_id: r.text for r in corpus_pipeline.substring_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()}
+    for (n, k), (head, tail) in own.items():
+        text = left[2 * n + k]
+        assert passages[n] not in text and len(text) < len(head) + len(tail) + 8  # some bytes beside the passage may agree by chance
+        assert text.startswith(head[:-8]) and text.endswith(tail[8:])
