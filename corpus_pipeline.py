@@ -45,8 +45,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of ``PASSAGE`` bytes that occur again; documents of which nothing is left go."""
-    left = without_repeats(docs, length=PASSAGE).where(F.length(F.trim("text")) > 0)
+    """Texts without the strings of ``PASSAGE`` bytes that occur again; documents go of which nothing is left but had a text before."""
+    left = without_repeats(docs.withColumn("_blank", F.coalesce(F.trim("text") == "", F.lit(True))), length=PASSAGE)
+    left = left.where(F.col("_blank") | (F.trim("text") != "")).drop("_blank")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

@@ -32,3 +32,10 @@ def test_substring_stage_cuts_passages_of_just_over_50_words(spark):
         text = left[2 * n + k]
         assert passages[n] not in text and len(text) < len(head) + len(tail) + 8  # some bytes beside the passage may agree by chance
         assert text.startswith(head[:-8]) and text.endswith(tail[8:])
+
+
+def test_substring_stage_drops_only_rows_that_it_empties(spark):
+    same = " ".join(f"w{k}" for k in range(80))
+    rows = [(0, None), (1, ""), (2, "   "), (3, same), (4, same), (5, "short")]
+    left = corpus_pipeline.substring_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(0, None), (1, ""), (2, "   "), (5, "short")]
