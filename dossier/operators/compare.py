@@ -40,18 +40,41 @@ def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     return pairs.join(old.select(F.col("doc_id").alias("a"), F.col("sketch").alias("a_sketch"), F.col("complete").alias("a_complete")), "a").join(new.select(F.col("doc_id").alias("b"), F.col("sketch").alias("b_sketch"), F.col("complete").alias("b_complete")), "b")
 
 
-def mutual_best(pairs: DataFrame, score: str, least: float, rounds: int = 12) -> DataFrame:
-    """The greedy matching by (-score, a, b): pairs that are first on both sides are taken, round after round."""
-    left, taken = written(pairs.where(F.col(score) >= least).select("a", "b", score)), None
-    for _ in range(rounds):
-        ranked = left.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(F.desc(score), "b"))).withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(F.desc(score), "a")))
-        now = ranked.where("ra = 1 and rb = 1").select("a", "b", score)
-        now = written(now)
-        if now.isEmpty():
-            break
+def mutual_best(pairs: DataFrame, score: str, least: float, members: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The greedy matching by (-score, a, b): pairs that are first on both sides are taken, round after round, until none is left.
+
+    Where some a and some b all score best with each other and with nobody else, the k-th a gets the k-th b in one round. With
+    ``members``, the two sides' (set, id), a and b in ``pairs`` are sets of ids that score alike, and ids are matched.
+    """
+    left, taken = written(pairs.where(F.col(score) >= least).select("a", "b", F.col(score).alias("s"))), None
+    olds, news = members or [left.select(F.col(side).alias("set"), F.col(side).alias("id")).distinct() for side in ("a", "b")]
+    wa, wb = Window.partitionBy("a"), Window.partitionBy("b")
+    while not left.isEmpty():
+        # Each side's best partners, and the groups in which they are the same for all.
+        top = left.withColumn("ta", F.col("s") == F.max("s").over(wa)).withColumn("tb", F.col("s") == F.max("s").over(wb)).where("ta or tb")
+        of_a = top.where("ta").groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("bs"))
+        of_b = top.where("tb").groupBy("b").agg(F.array_sort(F.collect_list("a")).alias("as"))
+        tight = top.where("ta and tb").join(of_a, "a").join(of_b, "b")
+        tight = tight.withColumn("one_a", (F.count("*").over(wa) == F.size("bs")) & (F.min("as").over(wa) == F.max("as").over(wa)))
+        tight = tight.withColumn("one_b", (F.count("*").over(wb) == F.size("as")) & (F.min("bs").over(wb) == F.max("bs").over(wb)))
+        group = written(tight.where("one_a and one_b").select("a", "b", "s", F.struct(F.col("as")[0], F.col("bs")[0]).alias("g")))
+
+        def ranked(ids: DataFrame, side: str, group=group) -> DataFrame:
+            own = group.select(F.col(side).alias("set"), "g", "s").distinct()
+            return ids.join(own, "set").select("g", "s", F.col("id").alias(side), F.row_number().over(Window.partitionBy("g").orderBy("id")).alias("k"))
+
+        now = ranked(olds, "a").join(ranked(news, "b").drop("s"), ["g", "k"]).select("a", "b", "s")
+
+        # Of the others, the first ids of two sets that are first for each other.
+        first = left.join(olds.groupBy(F.col("set").alias("a")).agg(F.min("id").alias("ia")), "a").join(news.groupBy(F.col("set").alias("b")).agg(F.min("id").alias("ib")), "b")
+        first = first.withColumn("ra", F.row_number().over(wa.orderBy(F.desc("s"), "ib"))).withColumn("rb", F.row_number().over(wb.orderBy(F.desc("s"), "ia")))
+        first = first.where("ra = 1 and rb = 1").join(group.select("a").distinct(), "a", "left_anti")
+        now = written(now.unionByName(first.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "s")))
         taken = now if taken is None else taken.unionByName(now)
-        left = written(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti"))
-    return taken if taken is not None else left.limit(0)
+        olds = written(olds.join(now.select(F.col("a").alias("id")), "id", "left_anti"))
+        news = written(news.join(now.select(F.col("b").alias("id")), "id", "left_anti"))
+        left = written(left.join(olds.select(F.col("set").alias("a")), "a", "left_semi").join(news.select(F.col("set").alias("b")), "b", "left_semi"))
+    return (taken if taken is not None else left).select("a", "b", F.col("s").alias(score))
 
 
 def margins(scores: DataFrame) -> DataFrame:
