@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import md5
+from heapq import nsmallest
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,45 @@ def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     return pairs.join(old.select(F.col("doc_id").alias("a"), F.col("sketch").alias("a_sketch"), F.col("complete").alias("a_complete")), "a").join(new.select(F.col("doc_id").alias("b"), F.col("sketch").alias("b_sketch"), F.col("complete").alias("b_complete")), "b")
 
 
+def whole_sketch(k: int = SKETCH):
+    """Column function: the ``k + 1`` least hashes of the distinct six-grams of a whole text, as ``sketches`` makes them of a first page; null for null."""
+    space, other = re.compile(r"\s+", re.ASCII), re.compile("[^a-zÀ-\uffff0-9 ]+")
+
+    @F.pandas_udf("array<bigint>")
+    def run(text):
+        def one(x):
+            t = other.sub("", space.sub(" ", x).strip(" ").lower())
+            grams = {t[i : i + SHINGLE] for i in range(max(len(t) - SHINGLE + 1, 1))}
+            return nsmallest(k + 1, {int.from_bytes(md5(g.encode()).digest()[:8], "big") >> 4 for g in grams})
+
+        return text.map(one, na_action="ignore")
+
+    return run
+
+
+def likely(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of ``old(id, sketch)`` and ``new(id, sketch)`` that share one of their 8 least values."""
+    a = old.select(F.col("id").alias("a"), F.explode(F.slice("sketch", 1, 8)).alias("v"))
+    b = new.select(F.col("id").alias("b"), F.explode(F.slice("sketch", 1, 8)).alias("v"))
+    return a.join(b, "v").select("a", "b").distinct()
+
+
+def matched(docs: DataFrame, least: float, k: int = SKETCH) -> DataFrame:
+    """The greedy matching (a, b, score) of ``docs(doc_id, text, old)``, old against new ones, by the whole texts' ``jaccard`` (six digits), ``least`` or more.
+
+    Documents of one sketch score alike with all others, so sets of them are compared, and pairs of copies are never listed.
+    """
+    values = docs.where("text is not null").select("doc_id", "old", whole_sketch(k)("text").alias("all"))
+    kept = written(values.select("doc_id", "old", F.slice("all", 1, k).alias("sketch"), (F.size("all") <= k).alias("complete")))
+    sets = written(kept.groupBy("sketch", "complete").agg(F.min("doc_id").alias("id"), F.max("old").alias("olds"), F.max(~F.col("old")).alias("news")))
+    ids = written(kept.join(sets, ["sketch", "complete"]).select(F.col("id").alias("set"), F.col("doc_id").alias("id"), "old"))
+    pairs = likely(sets.where("olds"), sets.where("news"), least - 5e-7)
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("sketch").alias(f"{side}_sketch"), F.col("complete").alias(f"{side}_complete")), side)
+    scores = jaccard(pairs, k).select("a", "b", F.round("jaccard", 6).alias("score"))
+    return mutual_best(scores, "score", least, (ids.where("old").drop("old"), ids.where("not old").drop("old")))
+
+
 def mutual_best(pairs: DataFrame, score: str, least: float, members: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The greedy matching by (-score, a, b): pairs that are first on both sides are taken, round after round, until none is left.
 
