@@ -61,10 +61,17 @@ def whole_sketch(k: int = SKETCH):
 
 
 def likely(old: DataFrame, new: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of ``old(id, sketch)`` and ``new(id, sketch)`` that share one of their 8 least values."""
-    a = old.select(F.col("id").alias("a"), F.explode(F.slice("sketch", 1, 8)).alias("v"))
-    b = new.select(F.col("id").alias("b"), F.explode(F.slice("sketch", 1, 8)).alias("v"))
-    return a.join(b, "v").select("a", "b").distinct()
+    """All pairs (a, b) of ``old(id, sketch)`` and ``new(id, sketch)`` whose ``jaccard`` can be ``least`` (above 0), and some others.
+
+    Such a pair shares ``least`` of the larger sketch's values. With values in one order, rare ones first, it then shares one
+    among the first of each sketch, all but as many as may be missed.
+    """
+    sides = old.select("id", "sketch", F.lit(True).alias("old")).unionByName(new.select("id", "sketch", F.lit(False).alias("old")))
+    values = sides.select("id", "old", F.size("sketch").alias("n"), F.explode("sketch").alias("v"))
+    values = values.join(values.groupBy("v").agg(F.count("*").alias("often")), "v")
+    held = values.groupBy("id", "old", "n").agg(F.array_sort(F.collect_list(F.struct("often", "v"))).alias("vs"))
+    first = written(held.select("id", "old", F.explode(F.slice("vs", F.lit(1), F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1)).alias("e")).select("id", "old", "e.v"))
+    return first.where("old").select(F.col("id").alias("a"), "v").join(first.where("not old").select(F.col("id").alias("b"), "v"), "v").select("a", "b").distinct()
 
 
 def matched(docs: DataFrame, least: float, k: int = SKETCH) -> DataFrame:
