@@ -4,6 +4,7 @@ A unit is a line, or a sentence of a line: passages are also copied into the mid
 paragraphs, where no whole line repeats. Units are normalised (A-Z lowered, white space
 collapsed), named by two independent 64-bit hashes and grouped over the whole corpus. The
 occurrence with the least (id, unit number) stays; later ones go, with their original offsets on record.
+Units of few words are compared in runs, so that passages of short sentences are found.
 """
 
 from __future__ import annotations
@@ -18,8 +19,31 @@ from dossier.llm.common import cut
 UNIT = "unit int, start bigint, length bigint, n_words int, h1 bigint, h2 bigint"
 
 
-def units(buf: np.ndarray, off: np.ndarray, min_words: int):
-    """(row, unit number, byte start, byte end, words, two hashes) of the units of at least ``min_words`` words.
+def windows(owner: np.ndarray, line: np.ndarray, size: np.ndarray, min_words: int, min_line_words: int):
+    """(first unit, last unit) of the runs that are compared: from each unit on, and up to each unit, as few as have ``min_words`` words together; and
+    whole lines of fewer, but ``min_line_words`` at least.
+
+    Any series of units that has ``min_words`` words is covered by the runs inside it.
+    """
+    n = len(size)
+    sums = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(n)
+    on = np.searchsorted(sums, sums[:-1] + min_words) - 1
+    back = np.searchsorted(sums, sums[1:] - min_words, side="right") - 1
+    head = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    tail = np.append(head[1:], n) - 1
+    words = sums[tail + 1] - sums[head]
+    short = (words >= min_line_words) & (words < min_words)
+    ahead, behind = on < n, back >= 0
+    ahead[ahead] = owner[on[ahead]] == owner[at[ahead]]
+    behind[behind] = owner[back[behind]] == owner[at[behind]]
+    pairs = np.concatenate((at[ahead] * n + on[ahead], back[behind] * n + at[behind], head[short] * n + tail[short]))
+    pairs = np.unique(pairs)
+    return pairs // n, pairs % n
+
+
+def units(buf: np.ndarray, off: np.ndarray, min_words: int, min_line_words: int = 3):
+    """(row, first unit's number, byte start, byte end, words, two hashes) of the ``windows`` of units.
 
     A unit ends at a newline, at a row's end, or after a word that ends in ``.``, ``!`` or ``?``.
     """
@@ -37,17 +61,19 @@ def units(buf: np.ndarray, off: np.ndarray, min_words: int):
     size = last - first
     owner = row[first]
     number = np.arange(len(first)) - np.searchsorted(owner, owner, side="left")
-    names = []
+    line = np.cumsum(np.concatenate(([True], (owner[1:] != owner[:-1]) | (lines[start[first[1:]]] != lines[start[first[:-1]]]))))
+    i, j = windows(owner, line, size, min_words, min_line_words)
+    first, last = first[i], last[j]
+    size, names = last - first, []
     for seed in (0x243F6A8885A308D3, 0x13198A2E03707344):
         with np.errstate(over="ignore"):
             sums = np.concatenate(([np.uint64(0)], np.cumsum(flat.mix(token ^ np.uint64(seed)) * flat.powers(n))))
             back = flat.powers(n + 1, flat.inverse())
             names.append(flat.mix((sums[last] - sums[first]) * back[first] + size.astype(np.uint64)))
-    keep = size >= min_words
-    return owner[keep], number[keep], start[first[keep]], end[last[keep] - 1], size[keep], names[0][keep], names[1][keep]
+    return owner[i], number[i], start[first], end[last - 1], size, *names
 
 
-def _list_units(min_words: int):
+def _list_units(min_words: int, min_line_words: int):
     def run(batches):
         import pyarrow as pa
 
@@ -55,7 +81,7 @@ def _list_units(min_words: int):
             buf, off = flat.columns(batch, "text")
             ids = batch.column(0)
             for i, j in flat.slices(off):
-                row, number, start, end, size, h1, h2 = units(buf[off[i] : off[j]], off[i : j + 1] - off[i], min_words)
+                row, number, start, end, size, h1, h2 = units(buf[off[i] : off[j]], off[i : j + 1] - off[i], min_words, min_line_words)
                 base = off[i : j + 1][row] - off[i] if len(row) else row
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(row + i)), pa.array(number, pa.int32()), pa.array(start - base, pa.int64()), pa.array(end - start, pa.int64()), pa.array(size, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
@@ -65,18 +91,19 @@ def _list_units(min_words: int):
     return run
 
 
-def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
+def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, min_line_words: int = 3) -> DataFrame:
     """One row for each unit that goes: doc_id, unit, start, length, n_words, first_doc_id, first_unit, occurrences.
 
-    start and length are byte offsets in the original text. Units of fewer than ``min_words`` words say too little
-    and stay. Null, empty and wordless texts have no units. A unit that repeats within its own document goes too.
+    start and length are byte offsets in the original text. Units of fewer than ``min_words`` words count together with those
+    beside them: a row is a run of units, ``unit`` is its first, and runs may overlap. Whole lines count from ``min_line_words``
+    words on; a shorter line or a single short sentence between others says too little and stays. Null, empty and wordless texts have no units. A unit that repeats within its own document goes too.
     Rows that repeat an id are told apart by nothing, so only one occurrence for each (id, unit) stays. A null id
     ranks last. Other columns are not read; an empty table gives an empty result.
     """
     flat.ship()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    listed = cut(texts.mapInArrow(_list_units(min_words), f"doc_id {id_type}, {UNIT}"))
+    listed = cut(texts.mapInArrow(_list_units(min_words, min_line_words), f"doc_id {id_type}, {UNIT}"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("unit"))
     firsts = listed.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("occurrences")).where("occurrences > 1")
     firsts = cut(firsts)  # written, so that a frequent unit's side of the join can be split at run time

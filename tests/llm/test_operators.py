@@ -261,6 +261,16 @@ def test_line_dedup(docs, nothing):
     assert line_dedup.repeated_units(nothing).count() == 0
 
 
+def test_line_dedup_finds_short_sentences_and_short_lines(spark):
+    passage = "Yes it is. No. " + " ".join(f"Word{k} and more." for k in range(17)) + " The end."
+    line = "licensed under the apache license, version 2.0."
+    texts = ["Some first opening here. " + passage + " Then it goes on.", "Another start entirely. " + passage + " And stops here.", f"alpha beta\n{line}\ngamma", f"delta epsilon\n{line}\nzeta", "Just this. Only once."]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")
+    kept = {r.doc_id: r.kept_text for r in line_dedup.without_units(rows, line_dedup.repeated_units(rows)).collect()}
+    assert [kept[0], kept[2], kept[4]] == [texts[0], texts[2], texts[4]]
+    assert kept[1].split() == "Another start entirely. And stops here.".split() and kept[3] == "delta epsilon\n\nzeta"
+
+
 def test_mixing(docs, nothing):
     found = mixing.mix_sources(docs).collect()
     total = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in sample())
