@@ -15,11 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is set (tests, one machine) it is a temporary one.
+    Only a local session, whose executors are this process, gets a temporary one where none is set; elsewhere that is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="dossier-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dossier-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -29,21 +32,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Keys that are broadcast at most; some tens of bytes each.
-MOST_BROADCAST = 2_000_000
+#: Bytes of keys that are broadcast at most, each row counted with what a hash table adds to it.
+MOST_BROADCAST, ROW_BYTES = 32 << 20, 48
 
 
 def checked_broadcast(keys: DataFrame) -> DataFrame:
-    """Written keys, with a broadcast hint only if their count allows it; beyond it the join shuffles."""
+    """Written keys, with a broadcast hint only if their bytes allow it; beyond it the join shuffles.
+
+    Fixed types count with 8 bytes, strings and byte strings with their lengths, lists with 64 bytes an entry.
+    """
     keys = cut(keys)
-    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys
+    sizes = {"string": F.octet_length, "binary": F.octet_length, "array": lambda c: 64 * F.size(c), "struct": lambda c: F.lit(32)}
+    own = [sizes.get(f.dataType.typeName(), lambda c: F.lit(8))(F.col(f.name)) for f in keys.schema]
+    total = keys.agg(F.sum(sum((F.coalesce(c, F.lit(0)) for c in own), F.lit(ROW_BYTES)).cast("long"))).first()[0] or 0
+    return F.broadcast(keys) if total <= MOST_BROADCAST else keys
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as (node, root): root is the least node of its component.
 
     Alternating large-star and small-star rounds: every round is a grouped minimum and a join, the
-    edge count never grows, and paths shorten geometrically. Nodes without edges are not listed.
+    edge count never grows, and paths shorten geometrically; rounds go on until one changes nothing. Nodes without edges are not listed.
     """
 
     def mark(e: DataFrame):
@@ -51,9 +60,7 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(edges)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         tasks = seen[0] // 50_000 + 8  # few edges don't need a file for each of many partitions
 
         def lows(both: DataFrame, tasks=tasks) -> DataFrame:

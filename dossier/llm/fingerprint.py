@@ -48,7 +48,7 @@ def terms(buf: np.ndarray, off: np.ndarray):
         end = np.where(np.repeat(long_, parts), np.minimum(start + PIECE, stop), stop)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.float32)
-    name = flat.span_hash(flat.prefix(flat.lowered(buf)), start, end)
+    name = flat.span_hash(flat.lowered(buf), start, end)
     order = np.lexsort((name, row))
     row, name, size = row[order], name[order], (end - start)[order]
     edge = np.concatenate(([True], (row[1:] != row[:-1]) | (name[1:] != name[:-1])))

@@ -9,14 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-#: A second, independent multiplier, for 128-bit names.
-BASE_TWO = 0xC2B2AE3D27D4EB4F
+KEY = b"dossier"
 #: Bytes of a batch that are worked on at once; a kernel needs some hundred times as much.
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 256 << 10
 #: Bytes of an Arrow batch at most, in the JVM and in a worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def ship() -> None:
@@ -39,11 +36,25 @@ def ship() -> None:
             cloudpickle.register_pickle_by_value(module)
 
 
-def trim() -> None:
-    """Give freed memory back, as a worker process is kept for tasks that need little."""
+def released(kernel):
+    """The mapInArrow kernel, giving freed memory back when a task ends, as a worker process is kept for later tasks."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
     import ctypes
     from contextlib import suppress
 
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     with suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -82,39 +93,54 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[str, np.ndarray] = {}
+def blocks(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, with zeros behind the end."""
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
 
 
-def powers(n: int, base: int = BASE) -> np.ndarray:
-    """``base**0 .. base**(n-1)`` modulo 2**64, kept for later calls."""
-    key = str(base)
-    have = _POWERS.get(key)
-    if have is None or len(have) < n:
-        with np.errstate(over="ignore"):
-            have = np.full(max(n, 1 << 16), base, np.uint64)
-            have[0] = 1
-            have = np.multiply.accumulate(have)
-        _POWERS[key] = have
-    return have[:n]
+def _block(view: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Blocks at these places, of which only ``left`` bytes count."""
+    spare = np.maximum(8 - left, 0).astype(np.uint64) * np.uint64(8)
+    return view[at] << spare
 
 
-def prefix(buf: np.ndarray, base: int = BASE) -> np.ndarray:
-    """Running polynomial sums; ``span_hash`` turns two of them into the hash of a byte span."""
-    out = np.zeros(len(buf) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(len(buf), base), out=out[1:])
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans' bytes, whatever stands around them. Spans of up to eight bytes and one length never collide."""
+    from hashlib import blake2b
+
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    view = blocks(buf)
+    own = np.flatnonzero((size > 0) & (size <= 64))
+    for k in range(0, 64, 8):
+        own = own[size[own] > k]
+        if not len(own):
+            break
+        with np.errstate(over="ignore"):
+            out[own] = mix((out[own] ^ _block(view, start[own] + k, size[own] - k)) + np.uint64(0xD6E8FEB86659FD93))
+    for k in np.flatnonzero(size > 64):
+        out[k] = int.from_bytes(blake2b(buf[start[k] : end[k]].tobytes(), digest_size=8, key=KEY).digest(), "little")
     return out
 
 
-def inverse(base: int = BASE) -> int:
-    return pow(base, -1, 1 << 64)
+def same_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the same bytes as the span of its size that starts at ``other``."""
+    view, size = blocks(buf), end - start
+    out, own, k = np.ones(len(start), bool), np.arange(len(start)), 0
+    while len(own):
+        out[own] &= _block(view, start[own] + k, size[own] - k) == _block(view, other[own] + k, size[own] - k)
+        k += 8
+        own = own[size[own] > k]
+    return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
-    """Position-free 64-bit hashes of ``buf[start:end]``; the length takes part."""
-    with np.errstate(over="ignore"):
-        back = powers(len(sums), inverse(base))
-        return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def names(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """128-bit keyed digests of spans of bytes or of hashes, which stand for the spans themselves."""
+    from hashlib import blake2b
+
+    raw, unit = memoryview(np.ascontiguousarray(values)).cast("B"), values.itemsize
+    return [blake2b(raw[s:e], digest_size=16, key=KEY).digest() for s, e in zip((start * unit).tolist(), (end * unit).tolist(), strict=True)]
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:
@@ -162,7 +188,7 @@ def shingles(buf: np.ndarray, off: np.ndarray, width: int):
     first = np.concatenate(([0], np.cumsum(count)))
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    token = span_hash(prefix(lowered(buf)), start, end)
+    token = span_hash(lowered(buf), start, end)
     weights = [np.uint64(mix(np.array([k + 1], np.uint64))[0] | np.uint64(1)) for k in range(width)]
     with np.errstate(over="ignore"):
         long_rows = np.flatnonzero(count >= width)

@@ -2,7 +2,7 @@
 
 A unit is a line, or a sentence of a line: passages are also copied into the middle of
 paragraphs, where no whole line repeats. Units are normalised (A-Z lowered, white space
-collapsed), named by two independent 64-bit hashes and grouped over the whole corpus. The
+collapsed), named by 128-bit digests and grouped over the whole corpus. The
 occurrence with the least (id, unit number) stays; later ones go, with their original offsets on record.
 Units of few words are compared in runs, so that passages of short sentences are found.
 """
@@ -10,13 +10,13 @@ Units of few words are compared in runs, so that passages of short sentences are
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm import flat
 from dossier.llm.common import cut
 
-UNIT = "unit int, start bigint, length bigint, n_words int, h1 bigint, h2 bigint"
+UNIT = "unit int, start bigint, length bigint, n_words int, name binary"
 
 
 def windows(owner: np.ndarray, line: np.ndarray, size: np.ndarray, min_words: int, min_line_words: int):
@@ -43,15 +43,15 @@ def windows(owner: np.ndarray, line: np.ndarray, size: np.ndarray, min_words: in
 
 
 def units(buf: np.ndarray, off: np.ndarray, min_words: int, min_line_words: int = 3):
-    """(row, first unit's number, byte start, byte end, words, two hashes) of the ``windows`` of units.
+    """(row, first unit's number, byte start, byte end, words, name) of the ``windows`` of units.
 
     A unit ends at a newline, at a row's end, or after a word that ends in ``.``, ``!`` or ``?``.
     """
     start, end, row = flat.words(buf, off)
     n = len(start)
     if not n:
-        return (np.zeros(0, np.int64),) * 5 + (np.zeros(0, np.uint64),) * 2
-    token = flat.span_hash(flat.prefix(flat.lowered(buf)), start, end)
+        return (np.zeros(0, np.int64),) * 5 + ([],)
+    token = flat.span_hash(flat.lowered(buf), start, end)
     lines = np.concatenate(([0], np.cumsum(buf == 10)))
     stop = np.isin(buf[end - 1], np.frombuffer(b".!?", np.uint8))
     new = np.ones(n, bool)
@@ -64,13 +64,7 @@ def units(buf: np.ndarray, off: np.ndarray, min_words: int, min_line_words: int
     line = np.cumsum(np.concatenate(([True], (owner[1:] != owner[:-1]) | (lines[start[first[1:]]] != lines[start[first[:-1]]]))))
     i, j = windows(owner, line, size, min_words, min_line_words)
     first, last = first[i], last[j]
-    size, names = last - first, []
-    for seed in (0x243F6A8885A308D3, 0x13198A2E03707344):
-        with np.errstate(over="ignore"):
-            sums = np.concatenate(([np.uint64(0)], np.cumsum(flat.mix(token ^ np.uint64(seed)) * flat.powers(n))))
-            back = flat.powers(n + 1, flat.inverse())
-            names.append(flat.mix((sums[last] - sums[first]) * back[first] + size.astype(np.uint64)))
-    return owner[i], number[i], start[first], end[last - 1], size, *names
+    return owner[i], number[i], start[first], end[last - 1], last - first, flat.names(token, first, last)
 
 
 def _list_units(min_words: int, min_line_words: int):
@@ -81,14 +75,14 @@ def _list_units(min_words: int, min_line_words: int):
             buf, off = flat.columns(batch, "text")
             ids = batch.column(0)
             for i, j in flat.slices(off):
-                row, number, start, end, size, h1, h2 = units(buf[off[i] : off[j]], off[i : j + 1] - off[i], min_words, min_line_words)
+                row, number, start, end, size, name = units(buf[off[i] : off[j]], off[i : j + 1] - off[i], min_words, min_line_words)
                 base = off[i : j + 1][row] - off[i] if len(row) else row
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row + i)), pa.array(number, pa.int32()), pa.array(start - base, pa.int64()), pa.array(end - start, pa.int64()), pa.array(size, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                    ["doc_id", "unit", "start", "length", "n_words", "h1", "h2"],
+                    [ids.take(pa.array(row + i)), pa.array(number, pa.int32()), pa.array(start - base, pa.int64()), pa.array(end - start, pa.int64()), pa.array(size, pa.int32()), pa.array(name, pa.binary())],
+                    ["doc_id", "unit", "start", "length", "n_words", "name"],
                 )
 
-    return run
+    return flat.released(run)
 
 
 def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8, min_line_words: int = 3) -> DataFrame:
@@ -96,41 +90,59 @@ def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     start and length are byte offsets in the original text. Units of fewer than ``min_words`` words count together with those
     beside them: a row is a run of units, ``unit`` is its first, and runs may overlap. Whole lines count from ``min_line_words``
-    words on; a shorter line or a single short sentence between others says too little and stays. Null, empty and wordless texts have no units. A unit that repeats within its own document goes too.
-    Rows that repeat an id are told apart by nothing, so only one occurrence for each (id, unit) stays. A null id
-    ranks last. Other columns are not read; an empty table gives an empty result.
+    words on; a shorter line or a single short sentence between others says too little and stays. Null, empty and wordless texts have no units.
+    A unit that repeats within its own document goes too. Of rows that repeat an id, ``copy`` (from 0) tells the equal units apart, and only
+    one occurrence stays. A null id ranks last. Other columns are not read; an empty table gives an empty result.
     """
     flat.ship()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     listed = cut(texts.mapInArrow(_list_units(min_words, min_line_words), f"doc_id {id_type}, {UNIT}"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("unit"))
-    firsts = listed.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("occurrences")).where("occurrences > 1")
+    firsts = listed.groupBy("name").agg(F.min(rank).alias("first"), F.count("*").alias("occurrences")).where("occurrences > 1")
     firsts = cut(firsts)  # written, so that a frequent unit's side of the join can be split at run time
-    later = listed.join(firsts, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("unit") == F.col("first.unit"))))
-    return later.select("doc_id", "unit", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"), "occurrences")
+    both = listed.join(firsts, "name")
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("unit") == F.col("first.unit"))
+    out = ["doc_id", "unit", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"), "occurrences"]
+    # Rows that stand for a unit's first occurrence: more than one only where rows repeat an id and a text.
+    copies = both.where(is_first).groupBy("doc_id", "unit", "start", "length", "n_words", F.col("first"), "occurrences", "name").agg(F.count("*").alias("k")).where("k > 1")
+    again = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).select(*out, F.col("copy").cast("int").alias("copy"))
+    return both.where(~is_first).select(*out, F.lit(0).alias("copy")).unionByName(again)
 
 
 def without_units(docs: DataFrame, removed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed units cut out of the text; all columns stay. ``kept_text`` holds what is left."""
+    """``docs`` with the removed units cut out of the text; all columns stay. ``kept_text`` holds what is left.
+
+    Of rows that repeat an id and a text, the first occurrence's units stay in one, which is chosen by no rule that a user could rely on.
+    """
     flat.ship()
-    spans = removed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans")).withColumnRenamed("doc_id", "_removed_id")
+    own = F.struct("start", "length")
+    spans = removed.groupBy("doc_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("copy") == 0, own))).alias("always"), F.array_sort(F.collect_set(F.when(F.col("copy") > 0, own))).alias("once")
+    )
+    spans = spans.select(F.struct(F.col("doc_id").alias("id"), "always", "once").alias("_removed"))
 
     @F.pandas_udf("string")
-    def rest(text, spans):
+    def rest(text, always, once, nth):
         import pandas as pd
 
         out = []
-        for t, cuts in zip(text, spans, strict=True):
+        for t, cuts, more, k in zip(text, always, once, nth, strict=True):
             if t is None or cuts is None:
                 out.append(t)
                 continue
             raw, at, kept = t.encode(), 0, []
-            for c in cuts:
+            for c in sorted([*cuts, *(more if k > 1 else [])], key=lambda c: (c["start"], c["length"])):
                 kept.append(raw[at : c["start"]])
                 at = max(at, c["start"] + c["length"])
             out.append(b"".join([*kept, raw[at:]]).decode())
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, docs[id_col] == spans["_removed_id"], "left")
-    return joined.withColumn("kept_text", rest(F.col(text_col), F.col("spans"))).drop("_removed_id", "spans")
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    rows = docs.select(row.alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(text_col).alias("_text"))
+    joined = rows.join(spans, F.col("_id").eqNullSafe(F.col("_removed.id")), "left")
+    marked = joined.withColumn("_nth", F.lit(1))
+    if not removed.where("copy > 0").isEmpty():  # only rows with such units are numbered
+        several = F.coalesce(F.size("_removed.once"), F.lit(0)) > 0
+        marked = marked.where(~several).unionByName(joined.where(several).withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_text"))))
+    return marked.withColumn("_kept", rest("_text", "_removed.always", "_removed.once", "_nth")).select("_row.*", F.col("_kept").alias("kept_text"))

@@ -80,9 +80,8 @@ def _sign(width: int, bands: int, rows: int):
                     ],
                     ["id", "n", "set", "bands", "sketch"],
                 )
-        flat.trim()
 
-    return run
+    return flat.released(run)
 
 
 def _full_sets(width: int):
@@ -98,7 +97,7 @@ def _full_sets(width: int):
                 rows = [value[at[r] : at[r + 1]] for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_name(v) for v in rows], pa.binary()), pa.array([v.tobytes() for v in rows], pa.binary())], ["set", "shingles"])
 
-    return run
+    return flat.released(run)
 
 
 def _confirm(percent: int):
@@ -116,7 +115,7 @@ def _confirm(percent: int):
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
-    return run
+    return flat.released(run)
 
 
 def _groups(batch, keys):
@@ -160,11 +159,11 @@ def _stars(least: float):
                     rest = rest[~near]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return run
+    return flat.released(run)
 
 
 def _across(least: float):
-    """mapInArrow over (bucket, block): its probes against its members, where the classes differ.
+    """mapInArrow over (bucket, block, face): a block of members against a block of probes, where the classes differ.
 
     Emits the edges of a spanning forest of the pairs that may be links, not the pairs.
     """
@@ -172,13 +171,13 @@ def _across(least: float):
     def run(batches):
         import pyarrow as pa
 
-        for batch in streams(batches, ["bucket", "block"], most=1 << 14):
+        for batch in streams(batches, ["bucket", "block", "face"], most=1 << 14):
             names, kinds = batch.column("set").to_pylist(), batch.column("root").to_pylist()
             code = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
             root = np.array([code[k] for k in kinds])
             probe, rows = batch.column("probe").to_numpy(zero_copy_only=False).astype(bool), _sketches(batch)
             a, b = [], []
-            for lo, hi in _groups(batch, ["bucket", "block"]):
+            for lo, hi in _groups(batch, ["bucket", "block", "face"]):
                 own = np.arange(lo, hi)
                 member = own[~probe[lo:hi]]
                 tree = np.arange(hi - lo)
@@ -193,16 +192,16 @@ def _across(least: float):
                     b.append(names[lo + tree[k]])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return run
+    return flat.released(run)
 
 
 def _in_blocks(percent: int):
-    """mapInArrow over (clump, block): the probes' full sets against the members', where the classes differ."""
+    """mapInArrow over (clump, block, face): a block of probes' full sets against a block of members', where the classes differ."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in streams(batches, ["clump", "block"], most=256):
+        for batch in streams(batches, ["clump", "block", "face"], most=256):
             names, kinds = batch.column("set").to_pylist(), batch.column("root").to_pylist()
             code = {k: i for i, k in enumerate(dict.fromkeys(kinds))}
             root, probe = np.array([code[k] for k in kinds]), batch.column("probe").to_numpy(zero_copy_only=False).astype(bool)
@@ -210,7 +209,7 @@ def _in_blocks(percent: int):
             sets = [np.frombuffer(column[k].as_buffer(), np.uint64) for k in range(batch.num_rows)]
             size = np.array([len(x) for x in sets])
             a, b = [], []
-            for lo, hi in _groups(batch, ["clump", "block"]):
+            for lo, hi in _groups(batch, ["clump", "block", "face"]):
                 own = np.arange(lo, hi)
                 member, probes = own[~probe[lo:hi]], own[probe[lo:hi]]
                 if not len(member) or not len(probes):
@@ -228,21 +227,30 @@ def _in_blocks(percent: int):
                     b += [names[k] for k in member[linked]]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return run
+    return flat.released(run)
+
+
+def _facing(placed: DataFrame, most: int) -> DataFrame:
+    """Sets (set, root, main, m, most) of groups of ``m`` with a main class of ``most``: members and probes of every pair of blocks (block, face)."""
+    blocks, faces = F.ceil(F.col("m") / most).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("most")) / most).cast("int"))
+    place = lambda parts: F.pmod(F.xxhash64("set"), parts).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    members = placed.withColumn("probe", F.lit(False)).withColumn("block", place(blocks)).withColumn("face", each(faces))
+    probes = placed.where("root <> main").withColumn("probe", F.lit(True)).withColumn("face", place(faces)).withColumn("block", each(blocks))
+    return members.unionByName(probes)
 
 
 def _clump_links(clumps: DataFrame, roots: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links between classes within clumps of sets that may be linked.
 
-    A clump's largest class is dealt over blocks; sets of its other classes meet every block.
+    All sets of a clump are dealt over blocks of members, those outside its largest class over blocks of probes, too; each
+    block of the one kind meets each of the other, so a task holds two blocks, whatever the clump.
     """
     placed = clumps.select(F.col("node").alias("set"), F.col("root").alias("clump")).join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     tally = placed.groupBy("clump", "root").agg(F.count("*").alias("k"))
-    main = tally.groupBy("clump").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("m")).withColumn("blocks", F.ceil(F.col("m") / SET_BLOCK).cast("int"))
-    placed = placed.join(main, "clump").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    probes = placed.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = placed.withColumn("probe", F.lit(False)).unionByName(probes.withColumn("probe", F.lit(True))).join(full, "set")
-    rows = rows.select("clump", "block", "set", "root", "probe", "shingles").repartition("clump", "block").sortWithinPartitions("clump", "block")
+    main = tally.groupBy("clump").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most"))
+    rows = _facing(placed.join(main, "clump"), SET_BLOCK).join(full, "set")
+    rows = rows.select("clump", "block", "face", "set", "root", "probe", "shingles").repartition("clump", "block", "face").sortWithinPartitions("clump", "block", "face")
     return cut(rows.mapInArrow(_in_blocks(percent), PAIR).distinct())
 
 
@@ -277,8 +285,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = entries.join(buckets, "bucket").join(nodes.select(F.xxhash64("set").alias("node"), "set"), "node")
     members = cut(members.select("bucket", "set", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")))
 
-    def listed(df: DataFrame, *extra: str) -> DataFrame:
-        return df.join(nodes.select("set", "sketch"), "set").select("bucket", "block", "set", "sketch", *extra).repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    def listed(df: DataFrame, keys: list[str], *extra: str) -> DataFrame:
+        return df.join(nodes.select("set", "sketch"), "set").select(*keys, "set", "sketch", *extra).repartition(*keys).sortWithinPartitions(*keys)
 
     wanted = members.select("set").distinct().join(nodes.select("set", "id"), "set").select("id")
     full = texts.join(wanted.distinct(), "id", "left_semi") if id_type != "void" else texts.limit(0)
@@ -290,15 +298,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         both = ends.join(full.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
         return cut(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), PAIR))
 
-    first = links(listed(members).mapInArrow(_stars(least), PAIR))
+    first = links(listed(members, ["bucket", "block"]).mapInArrow(_stars(least), PAIR))
     roots = cut(components(first))
 
     placed = members.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     tally = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    mixed = tally.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("k", "root")).alias("main")).where("classes > 1").select("bucket", "main")
-    open_ = cut(placed.join(mixed, "bucket"))
-    probes = open_.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
-    facing = listed(open_.withColumn("probe", F.lit(False)).unionByName(probes), "root", "probe").mapInArrow(_across(least), PAIR)
+    mixed = tally.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most")).where("classes > 1").drop("classes")
+    open_ = cut(placed.select("bucket", "set", "root").join(mixed, "bucket"))
+    facing = listed(_facing(open_, BLOCK), ["bucket", "block", "face"], "root", "probe").mapInArrow(_across(least), PAIR)
     clumps = cut(components(facing))
     if not clumps.isEmpty():
         second = _clump_links(clumps, roots, full, percent)

@@ -59,8 +59,8 @@ def cuts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Tokens:
     """Token ids of whole batches: each distinct chunk is encoded once and its ids are gathered."""
 
-    #: Distinct chunks that are remembered.
-    KEPT = 1 << 18
+    #: Distinct chunks that are remembered, by their bytes; beyond it the memory starts anew.
+    KEPT = 1 << 17
 
     def __init__(self, tokenizer: str):
         import base64
@@ -106,18 +106,20 @@ class Tokens:
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         end = np.append(start[1:], len(buf))
-        name = flat.span_hash(flat.prefix(buf), start, end)
-        distinct, place, inverse = np.unique(name, return_index=True, return_inverse=True)
+        _, place, inverse = np.unique(flat.span_hash(buf, start, end), return_index=True, return_inverse=True)
+        if not flat.same_bytes(buf, start, end, start[place][inverse]).all():  # chunks of one hash that differ: all are looked up
+            place = inverse = np.arange(len(start))
         if len(self.number) > self.KEPT:
             self.clear()
-        known = np.empty(len(distinct), np.int64)
+        known = np.empty(len(place), np.int64)
         raw = buf.tobytes()
         number, ids, starts = self.number, self.ids, self.starts
-        for k, (h, p) in enumerate(zip(distinct.tolist(), place.tolist(), strict=True)):
-            at = number.get(h)
+        for k, (s, e) in enumerate(zip(start[place].tolist(), end[place].tolist(), strict=True)):
+            chunk = raw[s:e]
+            at = number.get(chunk)
             if at is None:
-                at = number[h] = len(starts) - 1
-                ids.extend(self.encode(raw[start[p] : end[p]]))
+                at = number[chunk] = len(starts) - 1
+                ids.extend(self.encode(chunk))
                 starts.append(len(ids))
             known[k] = at
         pool, at = np.array(ids, np.uint32), np.array(starts)
@@ -152,10 +154,8 @@ def _tokenize(tokenizer: str, capacity: int):
                     sizes.append(len(own))
                     sums.append([zlib.crc32(own[s : s + n].tobytes()) for s, n in pieces(len(own), capacity)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "crcs"])
-        del tokens
-        flat.trim()
 
-    return run
+    return flat.released(run)
 
 
 # --- the plan -------------------------------------------------------------------------------

@@ -66,7 +66,7 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     inside = within[end] - within[start] if len(start) else np.zeros((0, 3), np.int64)
     head, tail = kinds[start] if len(start) else np.zeros(0), kinds[end - 1] if len(end) else np.zeros(0)
     share = lambda flag: _sums(flag, at) / n
-    token = flat.span_hash(flat.prefix(flat.lowered(buf)), start, end) if len(start) else np.zeros(0, np.uint64)
+    token = flat.span_hash(flat.lowered(buf), start, end) if len(start) else np.zeros(0, np.uint64)
     distinct, top = _distinct(token, at)
     with np.errstate(over="ignore"):
         pair = flat.mix(token[:-1] * np.uint64(3) + token[1:]) if len(token) else token
@@ -84,7 +84,7 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     line_at, m = np.concatenate(([0], np.cumsum(lines))), np.maximum(lines, 1)
     line_mean = _sums(line_words, line_at) / m
     line_std = np.sqrt(np.maximum(_sums(line_words**2, line_at) / m - line_mean**2, 0))
-    line_hash = flat.span_hash(flat.prefix(buf), line_start, line_end) if len(line_start) else np.zeros(0, np.uint64)
+    line_hash = flat.span_hash(buf, line_start, line_end) if len(line_start) else np.zeros(0, np.uint64)
     distinct_lines, _ = _distinct(line_hash, line_at)
     stopped = _sums(tail == 5, at)
     return np.stack(
@@ -177,6 +177,7 @@ def grow(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, bins:
     return Trees(np.array(features), np.array(limits), np.array(leaves), bias)
 
 
+@flat.released
 def _measure(batches):
     import pyarrow as pa
 
@@ -185,7 +186,6 @@ def _measure(batches):
         for i, j in flat.slices(off):
             stats = statistics(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(stats), pa.list_(pa.float32()))], ["doc_id", "stats"])
-        flat.trim()
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.7, sample: int = SAMPLE) -> DataFrame:
