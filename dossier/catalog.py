@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from dossier.plans import pages, releases, text
+import sys
 
-QUERIES = {**text.QUERIES, **pages.QUERIES, **releases.QUERIES}
-ORACLE = {**text.ORACLE, **pages.ORACLE, **releases.ORACLE}
+from pyspark import cloudpickle
+
+from dossier.plans import compare, pages, releases, stamps, text
+
+PLANS = (text, pages, releases, stamps, compare)
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLE = {name: sql for plan in PLANS for name, sql in plan.ORACLE.items()}
+
+for _name, _module in list(sys.modules.items()):  # workers get the engine's functions by value and need no copy of it
+    if _name.startswith("dossier.") and not _name.startswith("dossier.llm"):
+        cloudpickle.register_pickle_by_value(_module)

@@ -1,4 +1,4 @@
-"""Comparing two releases: sketches, alignment, margins, box matching."""
+"""Comparing two releases: sketches of pages and documents, scores, alignment and what follows from it."""
 
 from __future__ import annotations
 
@@ -9,23 +9,118 @@ from heapq import nsmallest
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions import geometry as g
 from dossier.functions.text import skeleton
 from dossier.operators.lineage import written
 
 SKETCH, SHINGLE, GAP, BASE = 192, 6, -0.05, 0.45
+# When a channel can be heard, and its weight.
+LEAST_CHARS, LEAST_SHARE, LEAST_TOKENS, NO_EVIDENCE = 60, 0.34, 12, 0.5
+TEXT, ORDER, LAYOUT, IMAGE = 3.0, 1.5, 1.5, 1.0
+# Limits of the page alignment.
+MOST_CELLS, WINDOW_FROM, MOVE_PAIRS = 6_000_000, 200_000, 250_000
+DOMINATED, AMBIGUOUS, MOVED, COVERED, MEAN, SAME_ORDER = -0.15, 0.06, 0.72, 0.34, 0.50, 0.10
 
 
-def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
-    """(doc_id, sketch, complete, keys): the ``k`` least hashes of the distinct character six-grams of a document's first page.
+def _least(strings, k: int):
+    """(the ``k`` least hashes of distinct strings, whether that is all)."""
+    hashes = F.array_sort(F.array_distinct(F.transform(strings, lambda s: F.substring(F.md5(s), 1, 15))))
+    return F.slice(hashes, 1, k), F.size(hashes) <= k
 
-    keys are the 8 least hashes of its runs of four words, by which pairs that are worth scoring meet.
+
+def page_prints(words: DataFrame, k: int = SKETCH) -> DataFrame:
+    """What the comparison knows of a page: (doc_id, page, tokens, chars, sketch, complete, order, order_complete).
+
+    sketch holds the least hashes of the distinct six-grams of the page's folded text, order those of its neighbouring tokens.
     """
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 408)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 3, F.lit(1))), lambda i: F.substring(F.md5(F.array_join(F.slice(words, i, F.lit(4)), " ")), 1, 15))
-    shingled = docs.select("doc_id", F.slice(F.array_sort(F.array_distinct(runs)), 1, 8).alias("keys"), F.array_join(F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-zÀ-￿0-9]+", "")), " ").alias("t"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - SHINGLE + 1, F.lit(1))), lambda i: F.substring(F.md5(F.substr(F.col("t"), i, F.lit(SHINGLE))), 1, 15))
-    return shingled.select("doc_id", "keys", F.array_sort(F.array_distinct(grams)).alias("all")).select("doc_id", "keys", F.slice("all", 1, k).alias("sketch"), (F.size("all") <= k).alias("complete"))
+    rows = words.select("doc_id", "page", F.struct("pos", skeleton(F.col("text")).alias("s")).alias("t"))
+    pages = rows.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["s"]).alias("ts"))
+    pages = pages.withColumn("text", F.array_join("ts", " ")).withColumns({"tokens": F.size("ts"), "chars": F.length("text")})
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("chars") - SHINGLE + 1, F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(SHINGLE)))
+    beside = F.when(F.col("tokens") > 1, F.zip_with(F.slice("ts", F.lit(1), F.col("tokens") - 1), F.slice("ts", F.lit(2), F.col("tokens") - 1), lambda x, y: F.concat(x, F.lit(" "), y))).otherwise(F.array().cast("array<string>"))
+    (sketch, complete), (order, order_complete) = _least(grams, k), _least(beside, k)
+    return pages.select("doc_id", "page", "tokens", "chars", sketch.alias("sketch"), complete.alias("complete"), order.alias("order"), order_complete.alias("order_complete"))
+
+
+def folded_stamp(stamp):
+    """A control number without what two scans disagree about; null if nothing is left."""
+    return F.nullif(F.upper(F.regexp_replace(stamp, "[^0-9A-Za-z]+", "")), F.lit(""))
+
+
+def stamp_regimes(pages: DataFrame) -> DataFrame:
+    """(pair, regime) of ``pages(pair, side, stamp)``, side old or new: absent, shared or disjoint control numbers."""
+    of = lambda side: F.collect_set(F.when(F.col("side") == side, folded_stamp(F.col("stamp"))))
+    count = lambda side: F.sum((F.col("side") == side).cast("int"))
+    both = pages.groupBy("pair").agg(of("old").alias("a"), of("new").alias("b"), count("old").alias("n"), count("new").alias("m"))
+    few = (F.size("a") < 0.5 * F.col("n")) | (F.size("b") < 0.5 * F.col("m")) | (F.size("a") == 0) | (F.size("b") == 0)
+    same = F.size(F.array_intersect("a", "b"))
+    shared = (same > 0) & (same >= 0.25 * F.least(F.size("a"), F.size("b")))
+    return both.select("pair", F.when(few, "absent").when(shared, "shared").otherwise("disjoint").alias("regime"))
+
+
+def alike(a, ca, b, cb, k: int = SKETCH):
+    """Similarity of two sketches: exact for complete ones, else estimated on the least values of their union."""
+    both, either = F.array_intersect(a, b), F.array_sort(F.array_union(a, b))
+    sample = F.slice(either, 1, k)
+    exact = F.try_divide(F.size(both), F.size(either))
+    return F.coalesce(F.when(ca & cb, exact).otherwise(F.try_divide(F.size(F.array_intersect(sample, both)), F.size(sample))), F.lit(0.0))
+
+
+def layout_similarity(a, b, occupied: float = 0.04):
+    """Of two occupancy grids: half how much is in the same cells, half which cells hold anything; null if both are empty."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda t, x: t + x)
+    low, high = total(F.zip_with(a, b, lambda x, y: F.least(x, y))), total(F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    on = lambda test: total(F.zip_with(a, b, lambda x, y: test(x >= occupied, y >= occupied).cast("double")))
+    either = on(lambda x, y: x | y)
+    share = low / high
+    presence = F.when(either > 0, on(lambda x, y: x & y) / either).otherwise(share)
+    return F.when(high > 0, 0.5 * share + 0.5 * presence)
+
+
+def page_scores(pairs: DataFrame, regime=None) -> DataFrame:
+    """``pairs`` of pages with channels and ``score``; columns of the two pages are prefixed a_ and b_.
+
+    Each page needs chars, tokens, sketch, complete, order, order_complete; layout, aspect, image and stamp take part where both sides have them. The score is the
+    mean of the channels that can be heard, by weight, so a page without text has no text channel rather than one of 0.
+    """
+    has = set(pairs.columns)
+    col = lambda name: (F.col(f"a_{name}"), F.col(f"b_{name}"))
+    (ca, cb), (ta, tb) = col("chars"), col("tokens")
+    heard = (F.least(ca, cb) >= LEAST_CHARS) & (F.least(ca, cb) >= LEAST_SHARE * F.greatest(ca, cb, F.lit(1)))
+    out = pairs.withColumn("text", F.when(heard, alike(F.col("a_sketch"), F.col("a_complete"), F.col("b_sketch"), F.col("b_complete"))))
+    out = out.withColumn("order", F.when(heard & (F.least(ta, tb) >= LEAST_TOKENS), alike(F.col("a_order"), F.col("a_order_complete"), F.col("b_order"), F.col("b_order_complete"))))
+    out = out.withColumn("layout", layout_similarity(*col("layout")) if "a_layout" in has else F.lit(None).cast("double"))
+    bits = lambda a, b: 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
+    out = out.withColumn("image", bits(*col("image")) if "a_image" in has else F.lit(None).cast("double"))
+    channels = (("text", TEXT), ("order", ORDER), ("layout", LAYOUT), ("image", IMAGE))
+    weight = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in channels), F.lit(0.0))
+    total = sum((F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in channels), F.lit(0.0))
+    score = F.when(weight > 0, total / weight).otherwise(NO_EVIDENCE)
+    if "a_aspect" in has:
+        x, y = col("aspect")
+        ratio = F.least(x, y) / F.greatest(x, y)
+        score = F.when((x > 0) & (y > 0) & (ratio < 0.9), score * ratio).otherwise(score)
+    if "a_stamp" in has:
+        x, y = (folded_stamp(c) for c in col("stamp"))
+        known = (regime if regime is not None else F.lit("shared")) == "shared"
+        equal = F.when(known & x.isNotNull() & y.isNotNull(), x == y)
+        score = F.when(equal, F.greatest(score, F.lit(0.9))).when(~equal, F.least(score, F.lit(0.3))).otherwise(score)
+        out = out.withColumn("stamps_equal", equal)
+    return out.withColumn("score", score)
+
+
+def scored_pages(pages: DataFrame) -> DataFrame:
+    """(pair, i, j, text, order, score): all pages of the two sides of each pair of documents against each other.
+
+    ``pages`` has pair, side (old or new), n (from 0), and what ``page_scores`` needs. Of pairs of many pages only a band around the
+    diagonal is scored, as wide as a tenth of the longer side and 50 at least; pairs beyond ``MOST_CELLS`` have no scores and are refused later.
+    """
+    sides = [pages.where(F.col("side") == side).select("pair", *(F.col(c).alias(f"{p}_{c}") for c in pages.columns if c not in ("pair", "side"))) for side, p in (("old", "a"), ("new", "b"))]
+    sizes = pages.groupBy("pair").agg(F.sum((F.col("side") == "old").cast("bigint")).alias("n_old"), F.sum((F.col("side") == "new").cast("bigint")).alias("n_new"))
+    cells, longer = F.col("n_old") * F.col("n_new"), F.greatest("n_old", "n_new")
+    window = F.greatest(F.lit(50), F.floor(longer / 10)) + F.abs(F.col("n_old") - F.col("n_new"))
+    pairs = sides[0].join(sizes.where(cells <= MOST_CELLS), "pair").join(sides[1], "pair").where((cells <= WINDOW_FROM) | (F.abs(F.col("a_n") - F.col("b_n")) <= window))
+    kept = ["stamps_equal"] if "stamp" in pages.columns else []
+    return page_scores(pairs).select("pair", F.col("a_n").alias("i"), F.col("b_n").alias("j"), "text", "order", "score", *kept)
 
 
 def jaccard(pairs: DataFrame, k: int = SKETCH) -> DataFrame:
@@ -36,16 +131,8 @@ def jaccard(pairs: DataFrame, k: int = SKETCH) -> DataFrame:
     return pairs.withColumn("jaccard", F.when(F.col("a_complete") & F.col("b_complete"), F.size(both) / F.size(either)).otherwise(estimate))
 
 
-def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Pairs of documents that share a key: an inverted join, not a cross join."""
-    a = old.select(F.col("doc_id").alias("a"), F.explode("keys").alias("v"))
-    b = new.select(F.col("doc_id").alias("b"), F.explode("keys").alias("v"))
-    pairs = a.join(b, "v").select("a", "b").distinct()
-    return pairs.join(old.select(F.col("doc_id").alias("a"), F.col("sketch").alias("a_sketch"), F.col("complete").alias("a_complete")), "a").join(new.select(F.col("doc_id").alias("b"), F.col("sketch").alias("b_sketch"), F.col("complete").alias("b_complete")), "b")
-
-
 def whole_sketch(k: int = SKETCH):
-    """Column function: the ``k + 1`` least hashes of the distinct six-grams of a whole text, as ``sketches`` makes them of a first page; null for null."""
+    """Column function: the ``k + 1`` least hashes of the distinct six-grams of a whole text; null for null."""
     space, other = re.compile(r"\s+", re.ASCII), re.compile("[^a-zÀ-\uffff0-9 ]+")
 
     @F.pandas_udf("array<bigint>")
@@ -128,53 +215,132 @@ def mutual_best(pairs: DataFrame, score: str, least: float, members: tuple[DataF
 
 
 def margins(scores: DataFrame) -> DataFrame:
-    """``scores(a, b, score)`` with ``margin``: score less the best rival in its row or column, never less than 0."""
+    """``scores(pair, i, j, score)`` with ``margin``: score less the best other score in its row or column, or 0."""
 
     def rival(by: str, other: str):
-        first = F.max("score").over(Window.partitionBy(by))
-        ranked = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), other))
-        second = F.max(F.when(F.col(f"_{by}") == 2, F.col("score"))).over(Window.partitionBy(by))
-        return first, ranked, second
+        """The best of the other scores: the second one for the first, the first one for all others."""
+        across = Window.partitionBy("pair", by)
+        place = F.row_number().over(across.orderBy(F.desc("score"), other))
+        ranked = F.when(F.col(f"_{by}") == 2, F.col("score"))
+        return place, F.when(F.col(f"_{by}") == 1, F.max(ranked).over(across)).otherwise(F.max("score").over(across))
+
+    out = scores.withColumn("_i", rival("i", "j")[0]).withColumn("_j", rival("j", "i")[0])
+    best = [F.coalesce(rival(by, other)[1], F.lit(0.0)) for by, other in (("i", "j"), ("j", "i"))]
+    return out.withColumn("margin", F.col("score") - F.greatest(F.lit(0.0), *best)).drop("_i", "_j")
 
-    out = scores.withColumn("_a", rival("a", "b")[1]).withColumn("_b", rival("b", "a")[1])
-    best = [F.when(F.col(f"_{by}") == 1, rival(by, other)[2]).otherwise(rival(by, other)[0]) for by, other in (("a", "b"), ("b", "a"))]
-    return out.withColumn("margin", F.col("score") - F.greatest(F.lit(0.0), F.coalesce(best[0], F.lit(0.0)), F.coalesce(best[1], F.lit(0.0)))).drop("_a", "_b")
+
+def best_path(pay, gap: float = GAP) -> list[tuple[int | None, int | None]]:
+    """The dearest way through a table of payments from its first to its last corner, one step a pair or a gap.
+
+    Of equal ways the one whose last steps are pairs, then gaps on the old side.
+    """
+    import numpy as np
+
+    n, m = pay.shape
+    came = np.zeros((n + 1, m + 1), np.uint8)  # 1: a pair, 2: a new page alone, 3: an old page alone
+    came[0, 1:], came[1:, 0] = 2, 3
+    above = gap * np.arange(m + 1)
+    for i in range(1, n + 1):
+        here = np.empty(m + 1)
+        here[0] = gap * i
+        pair, down = above[:-1] + pay[i - 1], above[1:] + gap
+        for j in range(1, m + 1):
+            ways = (pair[j - 1], here[j - 1] + gap, down[j - 1])
+            top = max(ways)
+            here[j] = top
+            came[i, j] = next(k for k, w in enumerate(ways, 1) if w > top - 1e-9)
+        above = here
+    out, i, j = [], n, m
+    while i or j:
+        step = came[i, j]
+        i, j = i - (step != 2), j - (step != 3)
+        out.append((i if step != 2 else None, j if step != 3 else None))
+    return out[::-1]
 
 
 def aligned(scores: DataFrame) -> DataFrame:
-    """Global alignment of pages per pair of documents: ``scores(pair, i, j, score)`` to (pair, i, j), null for a page without partner.
+    """Global alignment of pages per pair of documents: ``scores(pair, i, j, score)`` to (pair, step, i, j), null for a page without partner.
 
-    A pair pays its score less 0.45, a gap 0.05; walking back, a diagonal step is preferred, then a new page, then an old one.
-    One pair of documents is one group, and its table is the bound.
+    A pair pays its score less 0.45, a gap 0.05. One pair of documents is one group; ``scored_pages`` bounds its table.
     """
 
     def run(key, frame):
         import numpy as np
         import pandas as pd
 
-        n, m = int(frame.i.max()) + 1, int(frame.j.max()) + 1
-        pay = np.full((n, m), -BASE)
+        pay = np.full((int(frame.i.max()) + 1, int(frame.j.max()) + 1), -BASE)
         pay[frame.i, frame.j] = frame.score - BASE
-        best = np.zeros((n + 1, m + 1))
-        best[0], best[:, 0] = GAP * np.arange(m + 1), GAP * np.arange(n + 1)
-        slope = GAP * np.arange(m + 1)
-        for i in range(1, n + 1):
-            row = np.maximum(best[i - 1, 1:] + GAP, best[i - 1, :-1] + pay[i - 1])
-            best[i] = np.maximum.accumulate(np.concatenate(([best[i, 0]], row)) - slope) + slope
-        out, i, j = [], n, m
-        while i or j:
-            if i and j and abs(best[i, j] - best[i - 1, j - 1] - pay[i - 1, j - 1]) < 1e-9:
-                i, j = i - 1, j - 1
-                out.append((*key, i, j))
-            elif j and abs(best[i, j] - best[i, j - 1] - GAP) < 1e-9:
-                j -= 1
-                out.append((*key, None, j))
-            else:
-                i -= 1
-                out.append((*key, i, None))
-        return pd.DataFrame(out[::-1], columns=["pair", "i", "j"]).astype({"i": "Int64", "j": "Int64"})
-
-    return scores.groupBy("pair").applyInPandas(run, f"pair {scores.schema['pair'].dataType.simpleString()}, i bigint, j bigint")
+        steps = [(*key, k, i, j) for k, (i, j) in enumerate(best_path(pay))]
+        return pd.DataFrame(steps, columns=["pair", "step", "i", "j"]).astype({"i": "Int64", "j": "Int64"})
+
+    return scores.groupBy("pair").applyInPandas(run, f"pair {scores.schema['pair'].dataType.simpleString()}, step bigint, i bigint, j bigint")
+
+
+def settled(steps: DataFrame, scores: DataFrame) -> DataFrame:
+    """The alignment after second thoughts: (pair, step, i, j, score, confidence, moved, restored).
+
+    ``steps`` come from ``aligned``, ``scores`` have margin (``margins``), text and, where stamps are known, stamps_equal. Pairs that a clearly better one could displace are let go;
+    pages left over on both sides are paired out of order if they score ``MOVED`` or more, best first; what was let go and found nothing
+    better is put back at low confidence; and a low pair between two strong neighbours is medium.
+    """
+    known = scores if "stamps_equal" in scores.columns else scores.withColumn("stamps_equal", F.lit(None).cast("boolean"))
+    own = known.select("pair", "i", "j", "score", "margin", "text", "stamps_equal")
+    rows = steps.join(own, ["pair", "i", "j"], "left")
+    let_go = F.col("i").isNotNull() & F.col("j").isNotNull() & (F.col("margin") < DOMINATED)
+    kept, gone = written(rows.where(~F.coalesce(let_go, F.lit(False)))), written(rows.where(let_go))
+    alone_old = kept.where("j is null").select("pair", "i", "step").unionByName(gone.select("pair", "i", "step"))
+    alone_new = kept.where("i is null").select("pair", "j", F.col("step").alias("new_step")).unionByName(gone.select("pair", "j", F.col("step").alias("new_step")))
+    left = alone_old.groupBy("pair").agg(F.count("*").alias("n")).join(alone_new.groupBy("pair").agg(F.count("*").alias("m")), "pair").where(F.col("n") * F.col("m") <= MOVE_PAIRS)
+    may = own.where(F.col("score") >= MOVED).join(alone_old, ["pair", "i"]).join(alone_new, ["pair", "j"]).join(left.select("pair"), "pair")
+    listed = may.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("worst"), "i", "j"))).alias("c"))
+    moves = greedy(listed, "pair").select("pair", "i", "j").join(own, ["pair", "i", "j"]).join(alone_old, ["pair", "i"])
+    moves = written(moves.select("pair", "step", "i", "j", "score", confidence(F.col("score"), F.lit(1.0), F.col("text").isNotNull(), F.col("stamps_equal")).alias("confidence"), F.lit(True).alias("moved"), F.lit(False).alias("restored")))
+    back = gone.join(moves.select("pair", "i"), ["pair", "i"], "left_anti").join(moves.select("pair", "j"), ["pair", "j"], "left_anti")
+    back = back.select("pair", "step", "i", "j", "score", F.lit("low").alias("confidence"), F.lit(False).alias("moved"), F.lit(True).alias("restored"))
+    paired = kept.where("i is not null and j is not null")
+    paired = paired.select("pair", "step", "i", "j", "score", confidence(F.col("score"), F.col("margin"), F.col("text").isNotNull(), F.col("stamps_equal")).alias("confidence"), F.lit(False).alias("moved"), F.lit(False).alias("restored"))
+    both = bracketed(paired.unionByName(moves).unionByName(back))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    rest = [none("score", "double"), none("confidence", "string"), F.lit(False).alias("moved"), F.lit(False).alias("restored")]
+    olds = alone_old.join(both.select("pair", "i"), ["pair", "i"], "left_anti").select("pair", "step", "i", none("j", "bigint"), *rest)
+    news = alone_new.join(both.select("pair", "j"), ["pair", "j"], "left_anti").select("pair", F.col("new_step").alias("step"), none("i", "bigint"), "j", *rest)
+    return both.unionByName(olds).unionByName(news)
+
+
+def greedy(listed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, i, j): from candidates in order (an array ``c`` of structs with i and j), each that takes nothing already taken."""
+    kind = "struct<a: array<bigint>, b: array<bigint>, t: array<struct<i: bigint, j: bigint>>>"
+    start = F.lit(None).cast(kind)
+    none, no_pair = F.array().cast("array<bigint>"), F.array().cast("array<struct<i: bigint, j: bigint>>")
+    start = F.struct(none.alias("a"), none.alias("b"), no_pair.alias("t"))
+    long = lambda c: c.cast("bigint")
+    taken = F.aggregate(
+        "c",
+        start,
+        lambda s, x: F.when(F.array_contains(s["a"], long(x["i"])) | F.array_contains(s["b"], long(x["j"])), s).otherwise(
+            F.struct(F.array_append(s["a"], long(x["i"])).alias("a"), F.array_append(s["b"], long(x["j"])).alias("b"), F.array_append(s["t"], F.struct(long(x["i"]).alias("i"), long(x["j"]).alias("j"))).alias("t"))
+        ),
+        lambda s: s["t"],
+    )
+    return listed.select(*keys, F.explode(taken).alias("t")).select(*keys, "t.i", "t.j")
+
+
+def verdicts(pairs: DataFrame, scores: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(pair, matched, mean_score, order, refusal) of settled alignments: why a pair of documents is not compared, or null.
+
+    ``sizes`` has n_old and n_new. Reasons, in this order: no pages, too large, nothing alike, too few, weak, other order.
+    """
+    both = pairs.where("i is not null and j is not null").join(scores.select("pair", "i", "j", "text", F.col("order").alias("o")), ["pair", "i", "j"], "left")
+    told = F.count(F.when(F.col("text").isNotNull(), F.col("o")))
+    met = both.groupBy("pair").agg(F.count("*").alias("matched"), F.avg("score").alias("mean_score"), told.alias("told"), F.avg(F.when(F.col("text").isNotNull(), F.col("o"))).alias("order"))
+    out = sizes.join(met, "pair", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    out = out.withColumn("order", F.when(F.col("told") >= 0.6 * F.col("matched"), F.col("order")))
+    smaller = F.least("n_old", "n_new")
+    reason = (
+        F.when(smaller == 0, "no pages").when(F.col("n_old") * F.col("n_new") > MOST_CELLS, "too large").when(F.col("matched") == 0, "nothing alike")
+        .when(F.col("matched") < COVERED * smaller, "too few").when(F.col("mean_score") < MEAN, "weak").when(F.col("order") < SAME_ORDER, "other order")
+    )
+    return out.select("pair", "matched", "mean_score", "order", reason.alias("refusal"))
 
 
 def confidence(score, margin, has_text, stamps_equal):
@@ -194,16 +360,4 @@ def bracketed(pairs: DataFrame) -> DataFrame:
         beside = (near("i").over(order) == F.col("i") + step) & (near("j").over(order) == F.col("j") + step)
         return F.coalesce(beside & near("confidence").over(order).isin("certain", "high"), F.lit(False))
 
-    return pairs.withColumn("confidence", F.when((F.col("confidence") == "low") & strong(-1) & strong(1), "medium").otherwise(F.col("confidence")))
-
-
-def box_kind(old, new):
-    """unchanged, shrunk, grown or moved."""
-    ratio = g.area(new) / g.area(old)
-    same = (g.iou(old, new) >= 0.88) | (ratio.between(0.9, 1.1) & (g.shift(old, new) <= 0.008))
-    return F.when(same, "unchanged").when(ratio < 0.9, "shrunk").when(ratio > 1.1, "grown").otherwise("moved")
-
-
-def ordered_pairs(tokens: DataFrame) -> DataFrame:
-    after = Window.partitionBy("doc_id").orderBy("pos")
-    return tokens.select("doc_id", "pos", skeleton(F.col("text")).alias("a")).withColumn("b", F.lead("a").over(after)).where("b is not null")
+    return pairs.withColumn("confidence", F.when((F.col("confidence") == "low") & strong(-1) & strong(1) & ~(F.col("moved") if "moved" in pairs.columns else F.lit(False)), "medium").otherwise(F.col("confidence")))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import formats
 from dossier.operators import compare, search, series
-from dossier.operators.lineage import written
-from dossier.sources.corpus import WORDS_SQL, table, tokens, words
+from dossier.sources.corpus import WORDS_SQL, table, words
 from dossier.streaming import watch
 
 
@@ -40,41 +39,11 @@ def q_stamp_prefix(spark, sf_dir):
     return o.where(F.startswith("stamp", F.lit("000001"))).orderBy("stamp").limit(6)
 
 
-def _sketched(spark, sf_dir):
-    """Sketches of the two releases, computed once."""
-    old = F.regexp_extract("source", r"(\d+)$", 1).cast("int") < 10
-    docs = table(spark, sf_dir, "documents")
-    kept = written(compare.sketches(docs).join(docs.select("doc_id", old.alias("old")), "doc_id"))
-    return kept.where("old"), kept.where("not old")
-
-
-def q_shingle_sketch(spark, sf_dir):
-    return compare.sketches(table(spark, sf_dir, "documents")).select("doc_id", F.size("sketch").alias("n"), "complete", F.md5(F.array_join("sketch", ",")).alias("sketch_md5"))
-
-
-def q_jaccard(spark, sf_dir):
-    old, new = _sketched(spark, sf_dir)
-    return compare.jaccard(compare.candidates(old, new)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
-
-
 def q_doc_pairs(spark, sf_dir):
     old = F.coalesce(F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") < 10, F.lit(False))
     return compare.matched(table(spark, sf_dir, "documents").select("doc_id", "text", old.alias("old")), 0.3)
 
 
-def q_margin(spark, sf_dir):
-    old, new = _sketched(spark, sf_dir)
-    scores = compare.jaccard(compare.candidates(old, new)).select("a", "b", F.round("jaccard", 6).alias("score"))
-    return compare.margins(scores).select("a", "b", F.round("margin", 6).alias("margin"))
-
-
-def q_align(spark, sf_dir):
-    d = words(table(spark, sf_dir, "documents")).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
-    pairs = d.select((F.floor(F.col("doc_id") / 2)).alias("pair"), (F.col("doc_id") % 2).alias("side"), (F.col("page") - 1).alias("k"), "n")
-    a, b = pairs.where("side = 0").select("pair", F.col("k").alias("i"), F.col("n").alias("na")), pairs.where("side = 1").select("pair", F.col("k").alias("j"), F.col("n").alias("nb"))
-    return compare.aligned(a.join(b, "pair").select("pair", "i", "j", (F.least("na", "nb") / F.greatest("na", "nb")).alias("score")))
-
-
 def q_bracket(spark, sf_dir):
     """Pairs of lines, with a confidence that the quantity decides."""
     level = F.element_at(F.array(*map(F.lit, ("low", "high", "certain", "medium"))), (F.col("l_quantity").cast("int") % 4 + 1))
@@ -82,11 +51,6 @@ def q_bracket(spark, sf_dir):
     return compare.bracketed(rows.select("pair", "i", F.col("i").alias("j"), level.alias("confidence")))
 
 
-def q_confidence(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("score"), F.col("l_discount").alias("margin"), (F.col("l_tax") > 0.01).alias("has_text"), F.when(F.col("l_linenumber") == 1, F.col("l_returnflag") == "R").alias("stamps_equal"))
-    return rows.groupBy(compare.confidence(*map(F.col, rows.columns)).alias("confidence")).agg(F.count("*").alias("n_pairs"))
-
-
 def q_postings(spark, sf_dir):
     return search.postings(words(table(spark, sf_dir, "documents"))).groupBy("term").agg(F.count("*").alias("n_pages"), F.sum(F.size("positions")).alias("n_hits"))
 
@@ -181,14 +145,6 @@ def q_findings(spark, sf_dir):
 
 
 _STAMPS = "stamps as (select o_custkey as series, o_orderkey as value from orders)"
-_SKETCH = """raw as (select doc_id, source, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:408] as ws from documents),
-  tx as (select doc_id, source, list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: md5(array_to_string(ws[i:i + 3], ' '))[1:15])))[1:8] as keys, array_to_string(list_transform(ws, lambda w: regexp_replace(lower(w), '[^a-zÀ-￯0-9]+', '', 'g')), ' ') as t from raw),
-  gr as (select doc_id, source, keys, list_sort(list_distinct(list_transform(range(1, greatest(length(t) - 5, 1) + 1), lambda i: md5(substring(t, i, 6))[1:15]))) as a from tx),
-  sk as (select doc_id, regexp_extract(source, '(\\d+)$', 1)::int < 10 as old, keys, a[1:192] as sketch, len(a) <= 192 as complete from gr)"""
-_JACC = f"""{_SKETCH}, ke as (select doc_id, old, unnest(keys) as v from sk), ca as (select distinct a.doc_id as a, b.doc_id as b from ke a join ke b on a.v = b.v and a.old and not b.old),
-  ja as (select ca.a, ca.b, case when x.complete and y.complete then len(list_intersect(x.sketch, y.sketch)) / len(list_distinct(list_concat(x.sketch, y.sketch)))::double
-    else len(list_intersect(list_sort(list_distinct(list_concat(x.sketch, y.sketch)))[1:192], list_intersect(x.sketch, y.sketch))) / len(list_sort(list_distinct(list_concat(x.sketch, y.sketch)))[1:192])::double end as j
-   from ca join sk x on x.doc_id = ca.a join sk y on y.doc_id = ca.b), js as (select a, b, round(j, 6) as score from ja)"""
 _TERM = "terms as (select regexp_replace(lower(translate(text, '‘’‛ʼ´‐‑‒–—―−', '''''''''''-------')), '^[\\p{P}\\p{S}]+|[\\p{P}\\p{S}]+$', '', 'g') as term, doc_id, page, pos from words)"
 _SECONDS = "case when k < 60 then k || ' s' when k < 3600 then (k // 60) || ' min ' || (k % 60) || ' s' else (k // 3600) || ' h ' || (k % 3600 // 60) || ' min' end"
 
@@ -200,15 +156,9 @@ ORACLE = {
       select series, run, min(page) as first_page, count(*) as n_pages, min(value) as lo, max(value) as hi from r group by series, run""",
     "q_parsed_stamps": "select stamp, 'ABC' as prefix, o_orderkey as value from (select o_orderkey, 'ABC-' || lpad(replace(o_orderkey::varchar, '0', 'O'), 8, '0') as stamp from orders)",
     "q_stamp_prefix": "select o_orderkey, stamp from (select o_orderkey, lpad(o_orderkey::varchar, 8, '0') as stamp from orders) where starts_with(stamp, '000001') order by stamp limit 6",
-    "q_shingle_sketch": f"with {_SKETCH} select doc_id, len(sketch)::int as n, complete, md5(array_to_string(sketch, ',')) as sketch_md5 from sk",
-    "q_jaccard": f"with {_JACC} select a, b, score as jaccard from js",
-    "q_margin": f"""with {_JACC} select a, b, round(score - greatest(0.0, coalesce((select max(o.score) from js o where o.a = s.a and o.b <> s.b), 0.0), coalesce((select max(o.score) from js o where o.b = s.b and o.a <> s.a), 0.0)), 6) as margin from js s""",
     "q_bracket": """with r as (select l_orderkey as pair, l_linenumber as i, (['low', 'high', 'certain', 'medium'])[min(l_quantity)::int % 4 + 1] as c from lineitem group by all)
       select pair, i, i as j, case when c = 'low' and coalesce(lag(i) over w = i - 1 and lag(c) over w in ('certain', 'high'), false) and coalesce(lead(i) over w = i + 1 and lead(c) over w in ('certain', 'high'), false) then 'medium' else c end as confidence
       from r window w as (partition by pair order by i)""",
-    "q_confidence": """with r as (select l_quantity / 50 as s, l_discount as m, l_tax > 0.01 as t, case when l_linenumber = 1 then l_returnflag = 'R' end as e from lineitem),
-      b as (select *, case when s >= 0.85 then 3 when s >= 0.65 then 2 when s >= 0.45 then 1 else 0 end as k from r)
-      select (['low', 'medium', 'high', 'certain'])[case when e and s >= 0.6 then 3 when not e then 0 when not t or m < 0.06 then least(k, 1) else k end + 1] as confidence, count(*) as n_pairs from b group by 1""",
     "q_postings": f"with {WORDS_SQL}, {_TERM} select term, count(distinct (doc_id, page)) as n_pages, count(*) as n_hits from terms where term <> '' group by term",
     "q_search_and": f"""with {WORDS_SQL}, {_TERM} select doc_id, page, count(*)::int as n_hits, array_to_string(list_sort(list(pos))[1:12], ',') as positions from terms where term in ('the', 'and', 'with') group by all having count(distinct term) = 3""",
     "q_phrase": f"with {WORDS_SQL}, {_TERM} select doc_id, page, pos from (select *, lead(term) over (partition by doc_id, page order by pos) as next from terms) where term = 'of' and next = 'the'",

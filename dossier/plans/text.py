@@ -92,7 +92,7 @@ def q_order_pairs(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.count_distinct("a", "b").alias("n_distinct_pairs"))
 
 
-_SKEL = (
+SKELETON_SQL = (
     "replace(replace(replace(translate(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^0-9a-zÀ-￯]+', '', 'g'),"
     " '0123456789|!$@£', 'olzeasgtbgllsae'), 'rn', 'm'), 'vv', 'w'), 'cl', 'd')"
 )
@@ -129,10 +129,10 @@ ORACLE = {
     "q_slug": f"select doc_id, case when s = '' then 'doc' when regexp_full_match(s, '(con|prn|aux|nul|com[0-9]|lpt[0-9])') then s || '-doc' else s end as slug from (select doc_id, {_SLUG} as s from documents)",
     "q_natural_sort": "select 'doc' || p_partkey || '.pdf' as name, row_number() over (order by p_partkey)::int as place from part",
     "q_plain_text": f"select doc_id, case when length(p) <= 240 then p else regexp_replace(substring(p, 1, 239), '\\s\\S*$', '') || '…' end as plain from (select doc_id, {_PLAIN} as p from documents)",
-    "q_skeleton": f"with {TOKENS_SQL} select case when s = '' then '·' else s end as skeleton, count(*) as n from (select {_SKEL} as s from tokens) group by 1",
+    "q_skeleton": f"with {TOKENS_SQL} select case when s = '' then '·' else s end as skeleton, count(*) as n from (select {SKELETON_SQL} as s from tokens) group by 1",
     "q_page_lines": f"with {WORDS_SQL} select doc_id, page, line, string_agg(text, ' ' order by pos) as line_text from words group by all",
     "q_running_offsets": f"with {WORDS_SQL} select doc_id, page, pos, coalesce(sum(length(text) + 1) over (partition by doc_id, page order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as \"offset\" from words",
-    "q_order_pairs": f"""with {TOKENS_SQL}, s as (select doc_id, pos, case when {_SKEL} = '' then '·' else {_SKEL} end as a from tokens),
+    "q_order_pairs": f"""with {TOKENS_SQL}, s as (select doc_id, pos, case when {SKELETON_SQL} = '' then '·' else {SKELETON_SQL} end as a from tokens),
       p as (select doc_id, a, lead(a) over (partition by doc_id order by pos) as b from s) select doc_id, count(*) as n_pairs, count(distinct (a, b)) as n_distinct_pairs from p where b is not null group by doc_id""",
 }
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
