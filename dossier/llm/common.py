@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Bytes of keys that are broadcast at most, each row counted with what a hash table adds to it.
-MOST_BROADCAST, ROW_BYTES = 32 << 20, 48
+MOST_BROADCAST, ROW_BYTES = 64 << 20, 48
 
 
 def checked_broadcast(keys: DataFrame) -> DataFrame:

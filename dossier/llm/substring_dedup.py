@@ -2,14 +2,15 @@
 
 A string's *anchor* is the 32-byte gram in it with the least hash (the leftmost of equals). Equal strings have equal anchors
 at equal offsets, so strings only have to be compared under one anchor. Neighbouring strings with the same anchor
-form a *run*; about one run starts every 180 bytes.
-
-1. Anchors that occur once are dropped, with all their strings.
-2. Runs of equal content are repeated as a whole.
-3. Of other runs, the part that any other run under the anchor shares to the left and to the right is cut out. The distinct parts under an
-   anchor are joined, their suffixes sorted by linear grouping (``suffixes``), and a string is repeated if a neighbour in that order starts with it.
-4. An anchor with more open runs than one task should hold has the strings of its runs counted by 128-bit names instead; this
-   finds the same strings and spreads over tasks.
+form a *run*; about two runs start within the length of a string.
+
+1. Anchors that occur once are dropped, with all their strings; a filter of fixed size leaves most of them out before anything is sent.
+2. Runs of equal content (128-bit keyed digests of the bytes) are repeated as a whole: one stands for all, the others are only looked up.
+3. The distinct contents under an anchor are compared: the part that any other one shares to the left and to the right of the anchor is cut out,
+   the distinct parts are joined, their suffixes sorted by linear grouping (``suffixes``), and a string is repeated if a neighbour in that
+   order starts with it.
+4. Where more contents meet under one anchor than a task should hold, they are cut into shorter runs under a second anchor within the first one's
+   strings, then under a third, which goes through 2 and 3 again; at last each string is a run, and 2 decides. So groups fit into a task whatever the data are.
 """
 
 from __future__ import annotations
@@ -23,39 +24,53 @@ from dossier.llm.common import checked_broadcast, cut, streams
 from dossier.llm.suffixes import suffix_array
 
 GRAM = 32
-#: Open runs under one anchor that are compared in one task.
+#: Distinct contents under one anchor that are compared in one task.
 MOST_RUNS = 2048
+#: Bits of the filter of anchors, whatever the data; more anchors only let more through that is dropped later.
+FILTER_BITS = 1 << 27
+#: Anchors within anchors, before strings stand alone.
+LEVELS = 2
+_RUN = "anchor bigint, name binary, first int, last int, lead int"
 
 
-def find_runs(buf: np.ndarray, off: np.ndarray, length: int):
-    """(row, first start, last start, anchor position, anchor gram hash) of each run, in order, and the prefix sums."""
+def least_within(key: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    have = 1
+    while 2 * have <= width:
+        key = np.minimum(key[:-have], key[have:])
+        have *= 2
+    left = width - have
+    return np.minimum(key[: len(key) - left], key[left:]) if left else key
+
+
+def find_runs(buf: np.ndarray, off: np.ndarray, length: int, level: int = 0):
+    """(row, first start, last start, anchor position, anchor's hash) of each run, in order. Levels have hashes of their own."""
     n = len(buf)
-    sums = flat.prefix(buf)
-    nothing = np.zeros(0, np.int64)
-    if n < length:
-        return nothing, nothing, nothing, nothing, np.zeros(0, np.uint64), sums
-    at = np.arange(n - GRAM + 1)
-    gram = flat.span_hash(sums, at, at + GRAM)
-    low = np.uint64(32)
-    key = gram >> low << low | at.astype(np.uint64)
-    width = length - GRAM + 1
-    padded = np.full(-(-len(key) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(key)] = key
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = n - length + 1
-    anchor = (np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    size = np.diff(off)
-    row = np.repeat(np.arange(len(size)), size)[:starts]
-    start = np.flatnonzero(np.arange(starts) + length <= off[1:][row])
-    if not len(start):
-        return nothing, nothing, nothing, nothing, np.zeros(0, np.uint64), sums
-    anchor, row = anchor[start], row[start]
-    edge = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
-    first = np.flatnonzero(edge)
-    last = np.append(first[1:], len(start)) - 1
-    return row[first], start[first], start[last], anchor[first], gram[anchor[first]], sums
+    starts, grams = n - length + 1, n - GRAM + 1
+    if starts < 1:
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, nothing, nothing, np.zeros(0, np.uint64)
+    view = np.ascontiguousarray(flat.blocks(buf)[: n - 7])
+    factor = flat.mix(np.arange(1, 5, dtype=np.uint64) + np.uint64(1000 * level)) | np.uint64(1)
+    gram = view[:grams] * factor[0]
+    for k in (1, 2, 3):
+        gram += view[8 * k : 8 * k + grams] * factor[k]
+    gram = flat.mix(gram)
+    low = np.uint64(0xFFFFFFFF)
+    least = least_within((gram & ~low) | np.arange(grams, dtype=np.uint64), length - GRAM + 1)
+    anchor = (least & low).astype(np.int64)
+    inside = np.ones(starts, bool)  # strings that end before their row does
+    for end in off[1:-1].tolist():
+        inside[max(0, end - length + 1) : end] = False
+    begins = np.ones(starts, bool)
+    np.not_equal(anchor[1:], anchor[:-1], out=begins[1:])
+    begins[1:] |= ~inside[:-1]
+    begins &= inside
+    ends = np.ones(starts, bool)
+    ends[:-1] = begins[1:] | ~inside[1:]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends & inside)
+    row = np.searchsorted(off, first, side="right") - 1
+    return row, first, last, anchor[first], gram[anchor[first]]
 
 
 def _list_anchors(length: int):
@@ -68,10 +83,28 @@ def _list_anchors(length: int):
                 gram = find_runs(buf[off[i] : off[j]], off[i : j + 1] - off[i], length)[4]
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], ["anchor"])
 
-    return run
+    return flat.released(run)
+
+
+def _anchor_filter(texts: DataFrame, length: int):
+    """A bit for each anchor that occurs more than once, of ``FILTER_BITS`` bits that anchors fall on by hash; shared with all workers."""
+    counted = texts.select("text").mapInArrow(_list_anchors(length), "anchor bigint").groupBy("anchor").count().where("count > 1")
+    place = F.pmod("anchor", F.lit(FILTER_BITS))
+    words = counted.groupBy(F.shiftright(place, 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(anchor, 64) as int))")).alias("bits"))
+    found = words.toArrow()  # FILTER_BITS / 64 rows at most
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return texts.sparkSession.sparkContext.broadcast(bits)
+
+
+def _passing(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    at = anchor.view(np.int64) % FILTER_BITS
+    return (bits[at >> 6] >> (at & 63)) & 1 != 0
+
 
+def _list_runs(length: int, shared_bits):
+    """mapInArrow: (id, th, text) to the runs under anchors that occur more than once, and some others."""
 
-def _list_runs(length: int):
     def run(batches):
         import pyarrow as pa
 
@@ -79,15 +112,15 @@ def _list_runs(length: int):
             buf, off = flat.columns(batch, "text")
             for i, j in flat.slices(off):
                 part = buf[off[i] : off[j]]
-                row, first, last, anchor, gram, sums = find_runs(part, off[i : j + 1] - off[i], length)
-                h1 = flat.span_hash(sums, first, last + length)
-                h2 = flat.span_hash(flat.prefix(part, flat.BASE_TWO), first, last + length, flat.BASE_TWO)
+                row, first, last, anchor, gram = find_runs(part, off[i : j + 1] - off[i], length)
+                kept = _passing(shared_bits.value, gram)
+                row, first, last, anchor, gram = (x[kept] for x in (row, first, last, anchor, gram))
                 base, at = (off[i:j] - off[i])[row], pa.array(row + i)
-                numbers = (gram.view(np.int64), h1.view(np.int64), h2.view(np.int64), (first - base).astype(np.int32), (last - base).astype(np.int32), (anchor - first).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, numbers)], ["id", "th", "anchor", "h1", "h2", "first", "last", "lead"])
-        flat.trim()
+                name = pa.array(flat.names(part, first, last + length), pa.binary())
+                numbers = [pa.array(x.astype(np.int32)) for x in (first - base, last - base, anchor - first)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(gram.view(np.int64)), name, *numbers], ["id", "th", "anchor", "name", "first", "last", "lead"])
 
-    return run
+    return flat.released(run)
 
 
 def _extract(length: int):
@@ -98,18 +131,43 @@ def _extract(length: int):
 
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                slice_ = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 64):
+                slice_ = batch.slice(lo, 64)
                 listed, texts = slice_.column(3).to_pylist(), slice_.column(2).to_pylist()
                 at = pa.array([k for k, runs in enumerate(listed) for _ in runs], pa.int64())
                 columns = [pa.array([r[c] for runs in listed for r in runs], t) for c, t in zip(("anchor", "first", "lead", "open", "hot"), kinds, strict=True)]
-                parts = []
-                for text, runs in zip(texts, listed, strict=True):
-                    raw = text.encode()
-                    parts += [raw[r["first"] : r["last"] + length] for r in runs]
+                parts = [raw[r["first"] : r["last"] + length] for raw, runs in zip(texts, listed, strict=True) for r in runs]
                 yield pa.RecordBatch.from_arrays([slice_.column(0).take(at), slice_.column(1).take(at), *columns, pa.array(parts, pa.binary())], ["id", "th", "anchor", "first", "lead", "open", "hot", "part"])
 
-    return run
+    return flat.released(run)
+
+
+def _split(length: int, level: int):
+    """mapInArrow: runs with their bytes to shorter runs under anchors of this level; beyond the last level, to single strings."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            old, lead, first_ = (batch.column(c).to_numpy() for c in ("anchor", "lead", "first"))
+            for k in range(batch.num_rows):
+                part = np.frombuffer(batch.column("part")[k].as_py(), np.uint8)
+                if level <= LEVELS:
+                    _, first, last, anchor, gram = find_runs(part, np.array([0, len(part)]), length, level)
+                else:
+                    first = last = anchor = np.arange(len(part) - length + 1)
+                    gram = np.zeros(len(first), np.uint64)
+                with np.errstate(over="ignore"):
+                    key = flat.mix(flat.mix(gram + np.uint64(level)) + flat.mix(old[k : k + 1].view(np.uint64)) + (anchor - lead[k]).astype(np.uint64))
+                same = pa.array(np.full(len(first), k))
+                texts = [part[s : e + length].tobytes() for s, e in zip(first.tolist(), last.tolist(), strict=True)]
+                names = pa.array(flat.names(part, first, last + length), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(same), batch.column("th").take(same), pa.array(key.view(np.int64)), names, pa.array((first + first_[k]).astype(np.int32)), pa.array((last + first_[k]).astype(np.int32)), pa.array((anchor - first).astype(np.int32)), batch.column("open").take(same), pa.array(texts, pa.binary())],
+                    ["id", "th", "anchor", "name", "first", "last", "lead", "open", "part"],
+                )
+
+    return flat.released(run)
 
 
 def shared(contexts: list[bytes]) -> list[int]:
@@ -131,18 +189,22 @@ def shared(contexts: list[bytes]) -> list[int]:
 
 def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     """For each of some distinct parts, where strings of ``length`` bytes start that also start elsewhere in them."""
-    joined = np.concatenate([x for p in parts for x in (np.frombuffer(p, np.uint8).astype(np.int64) + 2, [1])] + [[0]])
-    order = suffix_array(joined.tolist())
-    base = np.cumsum([0] + [len(p) + 1 for p in parts])
+    size = np.array([len(p) + 1 for p in parts])
+    base = np.concatenate(([0], np.cumsum(size)))
+    joined = np.ones(base[-1] + 1, np.uint16)  # a 1 ends each part, the least value all of them
+    joined[-1] = 0
     inside = np.zeros(len(joined), bool)
     for b, p in zip(base, parts, strict=False):
+        joined[b : b + len(p)] = np.frombuffer(p, np.uint8).astype(np.uint16) + 2
         inside[b : b + max(0, len(p) - length + 1)] = True
-    text = joined.astype(np.uint8).tobytes() if joined.max() < 256 else joined.astype("<u2").tobytes()
-    unit = len(text) // len(joined)
+    order = np.frombuffer(suffix_array(joined), np.int32)
+    raw = joined.tobytes()
     hit = np.zeros(len(joined), bool)
-    for x, y in zip(order, order[1:], strict=False):
-        if inside[x] and inside[y] and text[x * unit : (x + length) * unit] == text[y * unit : (y + length) * unit]:
-            hit[x] = hit[y] = True
+    x, y = order[:-1], order[1:]
+    both = np.flatnonzero(inside[x] & inside[y])
+    for i, j in zip(x[both].tolist(), y[both].tolist(), strict=True):
+        if raw[2 * i : 2 * (i + length)] == raw[2 * j : 2 * (j + length)]:
+            hit[i] = hit[j] = True
     return [np.flatnonzero(hit[b : b + len(p)]) for b, p in zip(base, parts, strict=False)]
 
 
@@ -177,7 +239,7 @@ def _compare(length: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in streams(batches, ["anchor"], most=4096):
+        for batch in streams(batches, ["anchor"], most=1024):
             anchor = batch.column("anchor").to_numpy()
             parts, lead = batch.column("part").to_pylist(), batch.column("lead").to_pylist()
             first, open_ = batch.column("first").to_pylist(), batch.column("open").to_pylist()
@@ -195,25 +257,7 @@ def _compare(length: int):
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("th").take(at), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["id", "th", "start", "end"])
 
-    return run
-
-
-def _strings(length: int):
-    """mapInArrow: hot runs to the names of all their strings."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                part = np.frombuffer(batch.column("part")[k].as_py(), np.uint8)
-                at = np.arange(len(part) - length + 1)
-                h1 = flat.span_hash(flat.prefix(part), at, at + length)
-                h2 = flat.span_hash(flat.prefix(part, flat.BASE_TWO), at, at + length, flat.BASE_TWO)
-                same = pa.array([k] * len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(same), batch.column("th").take(same), pa.array((at + batch.column("first")[k].as_py()).astype(np.int32)), batch.column("open").take(same), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["id", "th", "start", "open", "h1", "h2"])
-
-    return run
+    return flat.released(run)
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -235,84 +279,140 @@ def rest(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def _repeats(docs: DataFrame, id_col: str, text_col: str, length: int):
-    """(id, th, spans) of the texts with repeats, and (id, th, text) of those and some others. th: a hash that tells texts under one id apart."""
-    flat.ship()
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = texts.schema["id"].dataType.simpleString()
-    mine = f"id {id_type}, th bigint"
-    anchors = texts.select("text").mapInArrow(_list_anchors(length), "anchor bigint").groupBy("anchor").count().where("count > 1").select("anchor")
-    runs = texts.mapInArrow(_list_runs(length), f"{mine}, anchor bigint, h1 bigint, h2 bigint, first int, last int, lead int")
-    runs = cut(runs.join(checked_broadcast(anchors), "anchor", "left_semi"))
+KEY = ["id", "th"]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """(id, th, text): texts as bytes, a null one as none. id is a struct, so that null ids are equal; th tells texts under one id apart."""
+    return docs.select(F.struct(F.col(id_col).alias("v")).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *more)
+
+
+def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
+    """(id, th, spans) of the ``texts(id, th, text)`` that hold strings of ``length`` bytes which also start anywhere else."""
+    mine = f"id {texts.schema['id'].dataType.simpleString()}, th bigint"
+    runs = cut(texts.mapInArrow(_list_runs(length, _anchor_filter(texts, length)), f"{mine}, {_RUN}"))
+    end = (F.col("last") + length).alias("end")
 
     # A content's first run stands for it; the others are only looked up, so that no common content is gathered in one task.
-    one = F.struct("id", "th", "first", "last", "lead")
-    contents = cut(runs.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("k"), F.min(one).alias("one")))
-    often = checked_broadcast(contents.where("k > 1").select("anchor", "h1", "h2"))
-    whole = runs.join(often, ["anchor", "h1", "h2"], "left_semi").select("id", "th", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    ones = contents.select("anchor", "one.*", (F.col("k") == 1).alias("open"))
-
-    held = ones.groupBy("anchor").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any").select("anchor", (F.col("n") > MOST_RUNS).alias("hot"))
-    listed = ones.join(held, "anchor").groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "first", "last", "lead", "open", "hot")).alias("runs"))
-    touched = checked_broadcast(runs.select("id", "th").distinct())
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    some = cut(texts.join(touched, same(texts, touched), "left_semi"))
-    parts = some.join(listed, same(some, listed)).select(some["id"], some["th"], "text", "runs")
+    contents = cut(runs.groupBy("name").agg(F.count("*").alias("k"), F.min(F.struct(*KEY, "first", "last", "lead", "anchor")).alias("one")))
+    whole = cut(runs.join(contents.where("k > 1").select("name"), "name", "left_semi").select(*KEY, F.col("first").alias("start"), end))
+    ones = contents.select("one.*", (F.col("k") == 1).alias("open"))
+    held = ones.groupBy("anchor").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any and n > 1").select("anchor", (F.col("n") > MOST_RUNS).alias("hot"))
+    listed = ones.join(held, "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "first", "last", "lead", "open", "hot")).alias("runs"))
+    parts = texts.join(checked_broadcast(listed), KEY).select(*KEY, "text", "runs").dropDuplicates(KEY)
     parts = cut(parts.mapInArrow(_extract(length), f"{mine}, anchor bigint, first int, lead int, open boolean, hot boolean, part binary"))
-    found = parts.where("not hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), f"{mine}, start int, end int")
-    marks = whole.unionByName(found)
-    if not parts.where("hot").isEmpty():
-        strings = parts.where("hot").mapInArrow(_strings(length), f"{mine}, start int, open boolean, h1 bigint, h2 bigint")
-        often = strings.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-        marks = marks.unionByName(strings.where("open").join(often, ["h1", "h2"]).select("id", "th", "start", (F.col("start") + length).alias("end")))
-    spans = cut(marks.groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    return spans, some, same
 
+    def compared(parts: DataFrame) -> DataFrame:
+        return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(length), f"{mine}, start int, end int")
 
-def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``.
+    marks, hot, level = whole.unionByName(compared(parts.where("not hot"))), parts.where("hot"), 0
+    while not hot.isEmpty():
+        level += 1
+        runs = cut(hot.mapInArrow(_split(length, level), f"{mine}, {_RUN}, open boolean, part binary"))
+        contents = cut(runs.groupBy("anchor", "name").agg(F.count("*").alias("k"), F.max("open").alias("open"), F.min(F.struct(*KEY, "first", "lead", "part")).alias("one")))
+        often = contents.where("k > 1").select("anchor", "name")
+        marks = marks.unionByName(runs.where("open").join(often, ["anchor", "name"], "left_semi").select(*KEY, F.col("first").alias("start"), end))
+        if level > LEVELS:
+            break  # single strings, of which each equal one has been found
+        ones = contents.select("anchor", "one.*", ((F.col("k") == 1) & F.col("open")).alias("open"))
+        held = ones.groupBy("anchor").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any and n > 1").select("anchor", (F.col("n") > MOST_RUNS).alias("hot"))
+        parts = cut(ones.join(held, "anchor"))
+        marks, hot = marks.unionByName(compared(parts.where("not hot"))), parts.where("hot")
+    return cut(marks.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(_merge, f"{mine}, spans array<struct<start: int, end: int>>"))
 
-    Removed is every byte covered by a string of ``length`` bytes that also starts anywhere else, in another document or the same one;
-    overlapping occurrences count, and strings are judged on the input. Texts are taken as UTF-8 bytes, a null one as empty;
-    texts shorter than ``length`` lose nothing. Repeated rows are documents of their own, so copies lose all strings. Other columns are not
-    read; an empty table gives an empty result.
-    """
-    spans, some, same = _repeats(docs, id_col, text_col, length)
 
-    def measure(batches):
+@flat.released
+def _merge(batches):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        runs = [[{"start": s, "end": e} for s, e in merged(own)] for own in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, kind)], [*KEY, "spans"])
+
+
+def _regions(length: int):
+    """mapInArrow: (id, th, text, spans) to the spans of at least ``length`` bytes as texts of their own."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            row, base, text = [], [], []
+            for k, (raw, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                for s in spans:
+                    if s["end"] - s["start"] >= length:
+                        row.append(k)
+                        base.append(s["start"])
+                        text.append(raw[s["start"] : s["end"]])
+            at, base = pa.array(row, pa.int64()), pa.array(base, pa.int64())
+            id_ = pa.StructArray.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["id", "th"])
+            yield pa.RecordBatch.from_arrays([id_, base, pa.array(text, pa.binary())], [*KEY, "text"])
+
+    return flat.released(run)
+
+
+def _measure(passage_words: int):
+    def run(batches):
         import hashlib
 
         import pyarrow as pa
 
         for batch in batches:
-            removed, count, sha = [], [], []
-            for text, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                runs = merged(own)
-                removed.append(sum(e - s for s, e in runs))
-                count.append(len(runs))
-                sha.append(hashlib.sha256(rest(text.encode(), runs)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], ["id", "th", "removed", "spans", "sha"])
+            out = [[], [], [], [], []]
+            for raw, near, far in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                runs = merged(far or [])
+                values = len(raw), sum(e - s for s, e in runs), len(runs), hashlib.sha256(rest(raw, runs)).hexdigest(), sum(len(raw[s["start"] : s["end"]].split()) > passage_words for s in near or [])
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"])
+
+    return flat.released(run)
+
 
-    cuts = some.join(spans, same(some, spans)).select(some["id"], some["th"], "text", "spans").mapInArrow(measure, f"id {some.schema['id'].dataType.simpleString()}, th bigint, removed bigint, spans bigint, sha string").dropDuplicates(["id", "th"])
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    out = rows.join(cuts, same(rows, cuts), "left")
-    return out.select(rows["id"].alias("doc_id"), "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+def remove_repeats(docs: DataFrame, *, length: int = 400, passage: int = 200, passage_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages for each row of ``docs``.
+
+    Removed is every byte covered by a string of ``length`` bytes that also starts anywhere else, in another document or the same one;
+    overlapping occurrences count, and strings are judged on the input. Texts are taken as UTF-8 bytes, a null one as empty;
+    texts shorter than ``length`` lose nothing. n_passages counts the repeated passages of more than ``passage_words`` words, many of which are shorter
+    than ``length``: maximal runs of bytes covered by repeated strings of ``passage`` bytes. Repeated rows are documents of their own, so copies lose all
+    strings. Other columns are not read; an empty table gives an empty result.
+
+    A repeated string of ``length`` bytes lies inside such a run at both places (``passage`` is not longer), so the longer strings are sought in the runs only.
+    """
+    flat.ship()
+    passage = min(passage, length)
+    texts = _texts(docs, id_col, text_col)
+    near = repeated_spans(texts, passage)
+    if length > passage:
+        regions = texts.join(checked_broadcast(near), KEY).select(*KEY, "text", "spans").mapInArrow(_regions(length), f"id struct<id: {texts.schema['id'].dataType.simpleString()}, th: bigint>, th bigint, text binary")
+        far = repeated_spans(regions, length).select("id.id", "id.th", F.col("th").cast("int").alias("base"), F.explode("spans").alias("s"))
+        far = far.groupBy(*KEY).agg(F.collect_list(F.struct((F.col("base") + F.col("s.start")).alias("start"), (F.col("base") + F.col("s.end")).alias("end"))).alias("far"))
+        spans = near.join(far, KEY, "left")
+    else:
+        spans = near.withColumn("far", F.col("spans"))
+    rows = texts.join(checked_broadcast(spans), KEY, "left").select("id", "text", "spans", "far")
+    kind = texts.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_measure(passage_words), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint").select(F.col("id.v").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages")
 
 
 def without_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated strings cut out of the text, all columns kept.
+    """``docs`` with the repeated strings cut out of the text, all columns kept, whatever their names.
 
-    A character that loses a byte goes as a whole, so that the text stays UTF-8.
+    A character that loses a byte goes as a whole, so that the text stays UTF-8. Null and short texts stay as they are; repeated rows lose all strings.
     """
-    spans, _, _ = _repeats(docs, id_col, text_col, length)
+    flat.ship()
+    spans = checked_broadcast(repeated_spans(_texts(docs, id_col, text_col), length))
 
     @F.pandas_udf("string")
     def left(text, spans):
         import pandas as pd
 
-        return pd.Series([t if t is None or s is None else rest(t.encode(), merged(s)).decode(errors="ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
+        cuts = lambda s: [(x["start"], x["end"]) for x in s]
+        return pd.Series([t if t is None or s is None else rest(t.encode(), cuts(s)).decode(errors="ignore") for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    spans = spans.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_id"]) & (F.xxhash64(docs[text_col]) == spans["_th"]), "left")
-    return joined.withColumn(text_col, left(F.col(text_col), F.col("_spans"))).select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    rows = docs.select(whole, F.struct(F.col(id_col).alias("v")).alias("id"), F.xxhash64(F.col(text_col)).alias("th")).join(spans, KEY, "left")
+    return rows.select(*(left(F.col("_row")[c], F.col("spans")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns))

@@ -8,14 +8,16 @@ them, in one pass over the sorted suffixes. Nothing is renamed and nothing recur
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
-def suffix_array(text: bytes | list[int]) -> list[int]:
-    """Start positions of all suffixes of ``text``, ascending; a suffix precedes those it is a prefix of."""
+def suffix_array(text) -> array:
+    """Start positions of all suffixes of ``text`` (bytes or whole numbers), ascending; a suffix precedes those it is a prefix of."""
     n = len(text)
     if not n:
-        return []
+        return array("i")
     codes = np.frombuffer(bytes(text), np.uint8) if isinstance(text, bytes) else np.asarray(text)
     order = np.argsort(codes, kind="stable")
     ranked = codes[order]
@@ -26,17 +28,17 @@ def suffix_array(text: bytes | list[int]) -> list[int]:
     group[order] = start_of
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    group, place, at = group.tolist(), place.tolist(), order.tolist()
-    end = dict(zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True))
-    smaller = [-1] * n
+    group, place, at = (array("i", x.astype(np.int32).tobytes()) for x in (group, place, order))
+    end = array("i", [0]) * n  # of the group that starts there
+    for low, high in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+        end[low] = high
+    smaller = array("i", [-1]) * n
 
     # groups by Lyndon prefixes
     top = n
     while top:
         low = group[at[top - 1]]
-        members = at[low:top]
-        if len(members) > 1:
-            members.sort()
+        members = sorted(at[low:top])
         pointed: dict[int, int] = {}
         for i in members:
             j = i - 1
@@ -69,15 +71,15 @@ def suffix_array(text: bytes | list[int]) -> list[int]:
         top = low
 
     # order inside groups
-    free = {}
-    out = [-1] * n
+    free = array("i", range(n))  # the next slot of the group that starts there
+    out = array("i", [-1]) * n
     placed = bytearray(n)
     i, follow = 0, n
     while True:
         j = follow - 1
         while j >= 0 and not placed[j]:
             g = group[j]
-            slot = free.get(g, g)
+            slot = free[g]
             out[slot] = j
             free[g] = slot + 1
             placed[j] = 1
