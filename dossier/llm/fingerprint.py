@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm import flat
-from dossier.llm.sharding import looked_up
 
 COORDINATES = 64
 #: Longer words count as pieces of this many bytes, so that a text without white space has parts, too.
@@ -157,7 +156,7 @@ def _compare(coordinates: int):
                 )
                 held = held.slice(len(texts) - 1)
 
-    return run
+    return flat.released(run)
 
 
 def compared_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", coordinates: int = COORDINATES, rows_a_range: int = 4000, most_ranges: int = 8192) -> DataFrame:
@@ -169,26 +168,22 @@ def compared_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     zeros. Ids are integers; null ids come first. Rows that repeat an id follow each other, in the order of their texts. Other
     columns are not read; an empty table gives an empty result.
 
-    Ids are cut into ranges of about as many rows; each gets its own rows and, as its end, the first row of the range after it. So
+    Ids are cut into ranges of about as many rows at their quantiles; each gets its own rows and, as its end, the first row of the range after it. So
     every text is sent once and no range needs another's rows.
     """
+    from pyspark.ml.feature import Bucketizer
+
     flat.ship()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    n, least, most = texts.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    n = texts.count()
     ranges = min(max(1, -(-n // rows_a_range)), most_ranges)
-    cells = ranges * 16 if least is not None else 1
-    width = (most - least) // cells + 1 if least is not None else 1
-    cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(least)) / width), F.lit(0)) if least is not None else F.lit(0)
-    placed = texts.withColumn("cell", cell.cast("int"))
-    held = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a bounded histogram of ids
-    of, filled, at = [], 0, 0
-    for c in range(cells):
-        if filled >= -(-n // ranges):
-            at, filled = at + 1, 0
-        of.append(at)
-        filled += held.get(c, 0)
-    placed = placed.select(looked_up(of, F.col("cell")).cast("int").alias("range"), "doc_id", "text")
+    shares = [(k + 1) / ranges for k in range(ranges - 1)]
+    quantiles = texts.agg(F.percentile_approx(F.col("doc_id").cast("double"), shares, 8 * most_ranges)).first()[0] if shares else None
+    splits = sorted({-float("inf"), *(quantiles or ()), float("inf")})  # ids of one double, beyond 2**53, share a range
+    numbered = texts.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-float("inf"))))
+    placed = Bucketizer(splits=splits, inputCol="at", outputCol="place").transform(numbered) if len(splits) > 2 else numbered.withColumn("place", F.lit(0))
+    placed = placed.select(F.col("place").cast("int").alias("range"), "doc_id", "text")
 
     order = Window.orderBy("range")
     heads = placed.groupBy("range").agg(F.min(F.struct("doc_id")).alias("head"))
