@@ -49,9 +49,11 @@ def q_layout_profile(spark, sf_dir):
 
 
 def q_locate(spark, sf_dir):
-    """Where on the page the third to the seventh token stand: the union of their boxes."""
-    w = words(table(spark, sf_dir, "documents")).where("pos between 2 and 6")
-    return w.groupBy("doc_id", "page").agg(F.round(F.min("x"), 6).alias("x1"), F.round(F.min("y"), 6).alias("y1"), F.round(F.max(F.col("x") + F.col("w")), 6).alias("x2"), F.round(F.max(F.col("y") + F.col("h")), 6).alias("y2"))
+    """Where on the page each stretch of 100 characters stands: the union of the boxes of all tokens that it touches."""
+    w = words(table(spark, sf_dir, "documents"))
+    start = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy(*PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretch = F.explode(F.sequence(F.floor(F.col("start") / 100), F.floor((F.col("start") + F.length("text") - 1) / 100)))
+    return w.withColumn("start", start).withColumn("stretch", stretch).groupBy("doc_id", "page", "stretch").agg(F.round(F.min("x"), 6).alias("x1"), F.round(F.min("y"), 6).alias("y1"), F.round(F.max(F.col("x") + F.col("w")), 6).alias("x2"), F.round(F.max(F.col("y") + F.col("h")), 6).alias("y2"))
 
 
 def _neighbours(spark, sf_dir):
@@ -145,7 +147,7 @@ def _coded(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    return _coded(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(CODE), F.lit(1))).alias("n")).select("doc_id", F.concat(F.lit("(b)("), "n", F.lit(")")).alias("code"))
+    return _coded(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(CODE), F.lit(1))).alias("n")).select("doc_id", F.concat(F.lit("b("), "n", F.lit(")")).alias("code"))
 
 
 def q_code_hits(spark, sf_dir):
@@ -158,15 +160,36 @@ def q_code_counts(spark, sf_dir):
 
 
 def q_code_set_diff(spark, sf_dir):
-    """Codes that the next document adds and drops."""
-    sets = _hits(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    order = Window.partitionBy(F.lit(0)).orderBy("doc_id")
-    both = sets.withColumn("next", F.lead("codes").over(order)).where("next is not null")
+    """Codes that the new release of a document adds and drops: documents are releases of the source's next one, in order within their source."""
+    docs = _coded(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    sets = docs.select("doc_id", "source", F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(CODE), F.lit(1)), lambda n: F.concat(F.lit("b("), n, F.lit(")"))))).alias("codes")).where("size(codes) > 0")
+    both = sets.withColumn("next", F.lead("codes").over(Window.partitionBy("source").orderBy("doc_id"))).where("next is not null")
     return both.select("doc_id", F.array_join(F.array_except("next", "codes"), ",").alias("added"), F.array_join(F.array_except("codes", "next"), ",").alias("removed"))
 
 
+#: Citations by document: each text gets one of them, and what is read there.
+CASES = [
+    ("us", "see (b)(5) here", ["b(5)"]), ("us", "b(7)(C)", ["b(7)(C)"]), ("us", "5 U.S.C. 552(b)(6)", ["b(6)"]), ("us", "(b)(6)(b)(7)(C)", ["b(6)", "b(7)(C)"]), ("us", "(b)(7)(A)(2) or 7(b)(5)", ["b(7)"]), ("us", "(b)(7)(Z), (b)(O) and [b] [l]", ["b(7)", "b(1)"]),
+    ("us", "Exemptions 6 and 7(C), 5; 200 pages", ["b(6)", "b(7)(C)", "b(5)"]), ("us", "(6)(6), and (b)(4)", ["b(6)", "b(4)"]), ("us", "(6)(6) alone", []), ("us", "(k)(2), k2 and (j)(2)", ["k(2)", "j(2)"]), ("us", "FOIA Exemption No. 7(e)", ["b(7)(E)"]), ("us", "a list: (5) no code", []),
+    ("uk", "Section 40(2) and 41", ["s.40(2)", "s.41"]), ("uk", "the agency's 21 employees", []), ("uk", "s.21, 43; section 3, 40", ["s.21", "s.43"]), ("ca", "sections 19, 20 or 21", ["s.19", "s.20", "s.21"]), ("eu", "Article 4(1)(a) and (2)", ["art.4(1)(a)", "art.4(2)"]), ("eu", "Arts. 4 (3), 4(1)(c)", ["art.4(3)", "art.4(1)"]),
+]
+
+
+def q_citations(spark, sf_dir):
+    """Citations behind whole texts, in each jurisdiction, with their places."""
+    n = F.col("doc_id") % len(CASES) + 1
+    pick = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in CASES)), n.cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n_before"), pick(0).alias("law"), F.concat("text", F.lit(" | "), pick(1)).alias("text"))
+    found = None
+    for law in codes.VOCABULARIES:
+        hits = codes.codes(docs.where(F.col("law") == law), jurisdiction=law)
+        found = hits if found is None else found.unionByName(hits)
+    found = found.join(docs.select("doc_id", "n_before"), "doc_id").where("start >= n_before")
+    return found.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "code"))), lambda h: h["code"]), " ").alias("codes"), F.bool_and(F.col("end") - F.col("start") == F.length("raw")).alias("placed"))
+
+
 #: The codes of the fixtures, in the order of their statute.
-VOCABULARY = [f"(b)({k})" for k in range(1, 10)]
+VOCABULARY = [f"b({k})" for k in range(1, 10)]
 
 
 def q_legend(spark, sf_dir):
@@ -213,7 +236,7 @@ _NEXT = """nb as (select doc_id, page, rid, x as ax, y as ay, x + w as ax2, y +
   from (select *, lead(w) over (partition by doc_id, page order by rid) as bw, lead(h) over (partition by doc_id, page order by rid) as bh from redactions) where bw is not null),
   sh as (select *, case when least(ax2, bx2) > greatest(ax, bx) and least(ay2, by2) > greatest(ay, by1) then (least(ax2, bx2) - greatest(ax, bx)) * (least(ay2, by2) - greatest(ay, by1)) else 0.0::double end as s, (ax2 - ax) * (ay2 - ay) as aa, (bx2 - bx) * (by2 - by1) as ba from nb)"""
 _CODED = r"""coded as (select doc_id, text || case when doc_id % 5 = 0 then ' (b)(' || (doc_id % 9 + 1) || ') and (b) (' || (doc_id % 4 + 1) || ')' else '' end as text from documents),
-  hits as (select doc_id, '(b)(' || n || ')' as code from (select doc_id, unnest(regexp_extract_all(text, '\(\s{0,8}[bB]\s{0,8}\)\s{0,8}\(\s{0,8}([1-9])\s{0,8}\)', 1)) as n from coded))"""
+  hits as (select doc_id, 'b(' || n || ')' as code from (select doc_id, unnest(regexp_extract_all(text, '\(\s{0,8}[bB]\s{0,8}\)\s{0,8}\(\s{0,8}([1-9])\s{0,8}\)', 1)) as n from coded))"""
 
 ORACLE = {
     "q_drop_hidden": f"with {WORDS_SQL}, {_MEET} select doc_id, page, count(*) as n_visible, sum(pos)::bigint as pos_sum from words w where not exists (select 1 from meet m where m.doc_id = w.doc_id and m.page = w.page and m.pos = w.pos) group by all",
@@ -226,7 +249,7 @@ ORACLE = {
       d as (select *, unnest(range(greatest(0, least(11, floor(y * 12)))::int, greatest(0, least(11, floor((y + h) * 12)))::int + 1)) as cy from c),
       s as (select doc_id, page, (cy * 8 + cx)::int as cell, least(1.0, sum(greatest(0.0, least(x + w, (cx + 1) / 8.0::double) - greatest(x, cx / 8.0::double)) * greatest(0.0, least(y + h, (cy + 1) / 12.0::double) - greatest(y, cy / 12.0::double)) * 96)) as share from d group by all)
       select doc_id, page, cell, round(share, 6) as share from s where share > 0""",
-    "q_locate": f"with {WORDS_SQL} select doc_id, page, round(min(x), 6) as x1, round(min(y), 6) as y1, round(max(x + w), 6) as x2, round(max(y + h), 6) as y2 from words where pos between 2 and 6 group by all",
+    "q_locate": f"with {WORDS_SQL}, o as (select *, coalesce(sum(length(text) + 1) over (partition by doc_id, page order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as start from words), t as (select *, unnest(range(start // 100, (start + length(text) - 1) // 100 + 1)) as stretch from o) select doc_id, page, stretch, round(min(x), 6) as x1, round(min(y), 6) as y1, round(max(x + w), 6) as x2, round(max(y + h), 6) as y2 from t group by all",
     "q_box_ops": f"with {WORDS_SQL}, {_NEXT} select doc_id, page, rid, round(s, 6) as shared, round(s / aa, 6) as ratio, round(s / (aa + ba - s), 6) as iou, round(sqrt(((ax + ax2 - bx - bx2) / 2) ** 2 + ((ay + ay2 - by1 - by2) / 2) ** 2), 6) as shift from sh",
     "q_subtract": f"""with {WORDS_SQL}, {_NEXT}, p as (select doc_id, page, rid, unnest(case when s > 0 then [
         {{x1: ax, y1: ay, x2: ax2, y2: least(by1, ay2)}}, {{x1: ax, y1: greatest(by2, ay), x2: ax2, y2: ay2}},
@@ -247,8 +270,9 @@ ORACLE = {
       select doc_id, page, row_number() over (partition by doc_id, page order by rid, pos) as k, regexp_replace(text, '[\\p{{L}}\\p{{N}}]', '#', 'g') as shape, greatest(count(*) over (partition by doc_id, page) - 5, 0) as n_more from meet where shared / area > 0.8) where k <= 5""",
     "q_code_hits": f"with {_CODED} select doc_id, code, count(*) as n_hits from hits group by all",
     "q_code_counts": f"with {_CODED} select code, count(distinct doc_id) as n_documents from hits group by code",
-    "q_code_set_diff": f"""with {_CODED}, s as (select doc_id, list_sort(list(distinct code)) as codes from hits group by doc_id), t as (select *, lead(codes) over (order by doc_id) as next from s)
+    "q_code_set_diff": f"""with {_CODED}, s as (select doc_id, list_sort(list(distinct code)) as codes from hits group by doc_id), t as (select doc_id, codes, lead(codes) over (partition by source order by doc_id) as next from s join documents using (doc_id))
       select doc_id, array_to_string(list_filter(next, lambda c: not list_contains(codes, c)), ',') as added, array_to_string(list_filter(codes, lambda c: not list_contains(next, c)), ',') as removed from t where next is not null""",
+    "q_citations": "with c(n, codes) as (values " + ", ".join(f"({k}, '{' '.join(c)}')" for k, (_, _, c) in enumerate(CASES) if c) + f") select doc_id, codes, true as placed from documents join c on doc_id % {len(CASES)} = n",
     "q_legend": f"with {_CODED} select code, count(distinct doc_id) as n_documents, regexp_extract(code, '([1-9])\\)$', 1)::int as place from hits group by code",
     "q_cite": """select doc_id, t || coalesce(d, '') || coalesce(p, '') as note, '[' || t || coalesce(p, '') || '](#)' as link from (select doc_id, 'Doc ' || doc_id as t,
       case when doc_id % 2 = 0 then ', p. ' || (doc_id % 7) end as p, case when doc_id % 3 = 0 then ' (2024-01-02)' end as d from documents)""",
