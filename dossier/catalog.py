@@ -6,9 +6,9 @@ import sys
 
 from pyspark import cloudpickle
 
-from dossier.plans import compare, pages, releases, stamps, text
+from dossier.plans import collection, compare, ledger, pages, releases, scalars, stamps, text
 
-PLANS = (text, pages, releases, stamps, compare)
+PLANS = (text, pages, releases, stamps, compare, ledger, scalars, collection)
 QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 ORACLE = {name: sql for plan in PLANS for name, sql in plan.ORACLE.items()}
 

@@ -5,7 +5,8 @@ at equal offsets, so strings only have to be compared under one anchor. Neighbou
 form a *run*; about two runs start within the length of a string.
 
 1. Anchors that occur once are dropped, with all their strings; a filter of fixed size leaves most of them out before anything is sent.
-2. Runs of equal content (128-bit keyed digests of the bytes) are repeated as a whole: one stands for all, the others are only looked up.
+2. Runs of equal content (128-bit keyed digests of the bytes) are repeated as a whole: one stands for all, the others are only looked up, those of
+   the most frequent contents in a table of bounded size, so that no common content meets in a join.
 3. The distinct contents under an anchor are compared: the part that any other one shares to the left and to the right of the anchor is cut out,
    the distinct parts are joined, their suffixes sorted by linear grouping (``suffixes``), and a string is repeated if a neighbour in that
    order starts with it.
@@ -28,6 +29,10 @@ GRAM = 32
 MOST_RUNS = 2048
 #: Bits of the filter of anchors, whatever the data; more anchors only let more through that is dropped later.
 FILTER_BITS = 1 << 27
+#: Contents that are looked up in the workers at most, the most frequent ones; the others are joined.
+MOST_HOT = 1 << 20
+#: And only those that occur at least 2 to the power of this many times.
+HOT_FROM = 6
 #: Anchors within anchors, before strings stand alone.
 LEVELS = 2
 _RUN = "anchor bigint, name binary, first int, last int, lead int"
@@ -287,6 +292,49 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return docs.select(F.struct(F.col(id_col).alias("v")).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *more)
 
 
+def _hottest(contents: DataFrame):
+    """(least count, names): the contents that occur most often, ``MOST_HOT`` at most, as sorted halves of their names, shared with all workers."""
+    tally = {int(r["b"]): r["count"] for r in contents.where("k > 1").groupBy(F.floor(F.log2("k")).alias("b")).count().collect()}  # one row a power of two
+    power, total = 63, 0
+    while power > HOT_FROM and total + tally.get(power - 1, 0) <= MOST_HOT:
+        power -= 1
+        total += tally.get(power, 0)
+    found = contents.where(F.col("k") >= 2**power).select("name").toArrow().column("name").to_pylist() if total else []
+    halves = np.frombuffer(b"".join(sorted(found)), ">u8").reshape(-1, 2).astype(np.uint64)
+    return 2**power, contents.sparkSession.sparkContext.broadcast(halves)
+
+
+def _hot_spans(length: int, shared_names):
+    """mapInArrow: runs, in order of their texts, to the spans of those with the hottest contents; runs that follow each other are one span."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        hot = shared_names.value
+        for batch in batches:
+            if not len(hot) or not batch.num_rows:
+                continue
+            column = batch.column("name").cast(pa.binary())
+            start = np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0]
+            names = np.frombuffer(column.buffers()[2], ">u8", 2 * len(column), int(start)).reshape(-1, 2).astype(np.uint64)
+            low, high = np.searchsorted(hot[:, 0], names[:, 0], "left"), np.searchsorted(hot[:, 0], names[:, 0], "right")
+            hit = np.zeros(len(names), bool)
+            for k in range(int((high - low).max(initial=0))):  # names that share their first half are a few at most
+                at = np.minimum(low + k, len(hot) - 1)
+                hit |= (low + k < high) & (hot[at, 1] == names[:, 1])
+            at = np.flatnonzero(hit)
+            first, last = batch.column("first").to_numpy()[at], batch.column("last").to_numpy()[at] + length
+            rows = pa.array(at)
+            id_, th = batch.column("id").take(rows), batch.column("th").take(rows)
+            keys = list(zip(id_.to_pylist(), th.to_pylist(), strict=True))
+            begins = [k for k in range(len(at)) if not k or keys[k] != keys[k - 1] or first[k] > last[k - 1]]
+            ends = [*(k - 1 for k in begins[1:]), len(at) - 1] if begins else []
+            kept = pa.array(begins, pa.int64())
+            yield pa.RecordBatch.from_arrays([id_.take(kept), th.take(kept), pa.array(first[begins].astype(np.int32)), pa.array(last[ends].astype(np.int32))], [*KEY, "start", "end"])
+
+    return flat.released(run)
+
+
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     """(id, th, spans) of the ``texts(id, th, text)`` that hold strings of ``length`` bytes which also start anywhere else."""
     mine = f"id {texts.schema['id'].dataType.simpleString()}, th bigint"
@@ -295,7 +343,10 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
 
     # A content's first run stands for it; the others are only looked up, so that no common content is gathered in one task.
     contents = cut(runs.groupBy("name").agg(F.count("*").alias("k"), F.min(F.struct(*KEY, "first", "last", "lead", "anchor")).alias("one")))
-    whole = cut(runs.join(contents.where("k > 1").select("name"), "name", "left_semi").select(*KEY, F.col("first").alias("start"), end))
+    often, hot_names = _hottest(contents)
+    rare = contents.where("k > 1").where(F.col("k") < often).select("name")
+    whole = runs.join(rare, "name", "left_semi").select(*KEY, F.col("first").alias("start"), end)
+    whole = cut(whole.unionByName(runs.mapInArrow(_hot_spans(length, hot_names), f"{mine}, start int, end int")))
     ones = contents.select("one.*", (F.col("k") == 1).alias("open"))
     held = ones.groupBy("anchor").agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any and n > 1").select("anchor", (F.col("n") > MOST_RUNS).alias("hot"))
     listed = ones.join(held, "anchor").groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "first", "last", "lead", "open", "hot")).alias("runs"))

@@ -19,6 +19,13 @@ def search(index: DataFrame, terms: list[str], most: int = 12) -> DataFrame:
     return hit.where(F.col("n_terms") == len(set(terms))).select("doc_id", "page", F.size("p").alias("n_hits"), F.slice("p", 1, most).alias("positions"))
 
 
+def found(words: DataFrame, terms: list[str], most: int | None = None) -> DataFrame:
+    """The same as ``search`` without a kept index: only the words that are sought are grouped."""
+    hits = words.select(normalized(F.col("text")).alias("term"), "doc_id", "page", "pos").where(F.col("term").isin(*terms))
+    pages = hits.groupBy("doc_id", "page").agg(F.size(F.collect_set("term")).alias("n_terms"), F.array_sort(F.collect_list("pos")).alias("p"))
+    return pages.where(F.col("n_terms") == len(set(terms))).select("doc_id", "page", F.size("p").alias("n_hits"), (F.slice("p", 1, most) if most else F.col("p")).alias("positions"))
+
+
 def phrase(words: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, page, pos): where the terms follow each other."""
     order = Window.partitionBy("doc_id", "page").orderBy("pos")

@@ -56,7 +56,7 @@ def q_postings(spark, sf_dir):
 
 
 def q_search_and(spark, sf_dir):
-    return search.search(search.postings(words(table(spark, sf_dir, "documents"))), ["the", "and", "with"]).select("doc_id", "page", "n_hits", F.array_join("positions", ",").alias("positions"))
+    return search.found(words(table(spark, sf_dir, "documents")), ["the", "and", "with"], 12).select("doc_id", "page", "n_hits", F.array_join("positions", ",").alias("positions"))
 
 
 def q_phrase(spark, sf_dir):
