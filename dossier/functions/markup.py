@@ -8,72 +8,78 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_SAFE = re.compile(r"(?:https?:|mailto:|#|/|\./|\.\./)", re.I)
+# Addresses that are followed, and signs of lines.
+_SAFE = re.compile(r"https?://|mailto:|[./#]|[A-Za-z0-9_-]+[/.]")
+_RULE = re.compile(r"-{3,}|\*{3,}|_{3,}")
+_ITEM = re.compile(r"(?:([-*+])|\d+[.)])\s+(.*)")
 
 
 def inline(text: str) -> str:
-    """Escapes a line, then brings back code, links, bold and italic."""
-    kept: list[str] = []
-
-    def keep(markup: str) -> str:
-        kept.append(markup)
-        return f"\0{len(kept) - 1}\0"
+    """Escapes a line, then brings back code, bold, italic and links. A link that is not followed shows where it leads."""
+    out = html.escape(text)
+    for mark, tag in (("`([^`\n]+)`", "code"), (r"\*\*([^*\n]+)\*\*", "strong"), (r"(?<![*\w])\*([^*\n]+)\*(?!\w)", "em")):
+        out = re.sub(mark, rf"<{tag}>\1</{tag}>", out)
 
     def link(m: re.Match) -> str:
-        label, target = m[1], html.unescape(m[2])
-        return keep(f'<a href="{html.escape(target)}">') + label + keep("</a>") if _SAFE.match(target) else label
-
-    out = html.escape(text.replace("\0", ""))
-    out = re.sub(r"`([^`]+)`", lambda m: keep(f"<code>{m[1]}</code>"), out)
-    out = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", link, out)
-    out = re.sub(r"\*\*(.+?)\*\*", r"<strong>\1</strong>", out)
-    out = re.sub(r"(?<![\w*])\*([^*]+)\*(?![\w*])", r"<em>\1</em>", out)
-    return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], out)
+        target = html.unescape(m[2])
+        if not _SAFE.match(target):
+            return f"{m[1]} ({html.escape(target)})"
+        apart = ' rel="noopener noreferrer"' if target.startswith(("http://", "https://")) else ""
+        return f'<a href="{html.escape(target)}"{apart}>{m[1]}</a>'
+
+    return re.sub(r"\[([^\]\n]+)\]\(([^)\s]+)\)", link, out)
+
+
+def uncommented(text: str) -> str:
+    """Comments go, an open one with all behind it."""
+    head, *rest = text.split("<!--")
+    return head + "".join(part.split("-->", 1)[1] for part in rest if "-->" in part)
+
+
+def signs(text: str):
+    """(kind, content) of each line: blank, rule, h2 to h4, quote, ul, ol or text."""
+    for line in uncommented(text).replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        line = line.strip()
+        level = len(line) - len(line.lstrip("#"))
+        item = _ITEM.fullmatch(line)
+        if not line:
+            yield "blank", ""
+        elif _RULE.fullmatch(line):
+            yield "rule", ""
+        elif 1 <= level <= 3 and line[level : level + 1].isspace():
+            yield f"h{level + 1}", line[level:].strip()
+        elif line.startswith(">"):
+            yield "quote", line.lstrip("> ")
+        elif item:
+            yield ("ul" if item[1] else "ol"), item[2]
+        else:
+            yield "text", line
 
 
 def render(text: str | None) -> str | None:
-    """Headings one level down, lists, quotes, rules and paragraphs; comments go."""
+    """Headings one level down, lists, quotes, rules and paragraphs. Lines behind a quote belong to it until a blank one."""
     if text is None:
         return None
+    blocks: list[tuple[str, list[str]]] = []
+    for kind, content in signs(text):
+        last = blocks[-1][0] if blocks else "blank"
+        if kind == "text" and last == "quote":
+            kind = "quote"
+        if kind == last and kind in ("text", "quote", "ul", "ol"):
+            blocks[-1][1].append(content)
+        else:
+            blocks.append((kind, [content]))
     out: list[str] = []
-    kind, lines = "", []
-
-    def flush() -> None:
-        nonlocal kind, lines
-        if kind in ("ul", "ol"):
-            out.append(f"<{kind}>" + "".join(f"<li>{inline(x)}</li>" for x in lines) + f"</{kind}>")
-        elif kind:
-            tag = "blockquote" if kind == "quote" else "p"
-            out.append(f"<{tag}>{inline(' '.join(lines))}</{tag}>")
-        kind, lines = "", []
-
-    forms = (("ul", r"\s{0,3}[-*+]\s+(.*)"), ("ol", r"\s{0,3}\d+[.)]\s+(.*)"), ("quote", r"\s{0,3}>\s?(.*)"))
-    for line in re.sub(r"(?s)<!--.*?(?:-->|\Z)", "", text).splitlines():
-        heading = re.fullmatch(r"\s{0,3}(#{1,6})\s+(.*?)\s*#*", line)
-        found = next(((k, m[1]) for k, p in forms if (m := re.fullmatch(p, line))), None)
-        if not line.strip():
-            flush()
-        elif heading:
-            flush()
-            level = min(6, len(heading[1]) + 1)
-            out.append(f"<h{level}>{inline(heading[2])}</h{level}>")
-        elif re.fullmatch(r"\s{0,3}([-*_])(?:\s*\1){2,}\s*", line):
-            flush()
+    for kind, lines in blocks:
+        if kind == "rule":
             out.append("<hr>")
-        elif found:
-            if kind != found[0]:
-                flush()
-                kind = found[0]
-            lines.append(found[1].strip())
-        else:
-            if kind in ("ul", "ol") and lines:
-                lines[-1] += " " + line.strip()
-                continue
-            if kind != "p":
-                flush()
-                kind = "p"
-            lines.append(line.strip())
-    flush()
+        elif kind in ("ul", "ol"):
+            out += [f"<{kind}>", *(f"<li>{inline(x)}</li>" for x in lines), f"</{kind}>"]
+        elif kind in ("text", "quote"):
+            paragraph = f"<p>{inline(' '.join(lines).strip())}</p>"
+            out += ["<blockquote>", paragraph, "</blockquote>"] if kind == "quote" else [paragraph]
+        elif kind != "blank":
+            out.append(f"<{kind}>{inline(lines[0])}</{kind}>")
     return "\n".join(out)
 
 

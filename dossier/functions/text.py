@@ -91,11 +91,9 @@ def natural_key(name: Column) -> Column:
 
 
 def plain(markdown: Column, most: int = 240) -> Column:
-    """Plain text of light markup, cut at a word."""
-    text = F.regexp_replace(markdown, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    text = F.regexp_replace(text, r"(?m)^\s{0,3}(#{1,6}|>|[-*+]|\d+\.)\s+", "")
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[*_`]+", ""), r"\s+", " "), r"\s+([.,;:!?])", "$1")
-    text = F.trim(text)
+    """Plain text of light markup on one line, cut at a word."""
+    text = F.regexp_replace(F.regexp_replace(markdown, r"(?s)<!--.*?-->", " "), r"[#>*_`]+", " ")
+    text = F.regexp_replace(text, r"\[([^\]\n]+)\]\([^)\s]+\)", "$1")
+    text = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"\s+([,.;:!?])", "$1")
     cut = F.regexp_replace(F.substring(text, 1, most - 1), r"\s\S*$", "")
     return F.when(F.length(text) <= most, text).otherwise(F.concat(cut, F.lit("…")))

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder named in ``spark.checkpoint.dir`` (a temporary one only where none is set)."""
+    """The rows, written to the shared folder named in ``spark.checkpoint.dir``. Only a local session gets a temporary one where none is set."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="dossier-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="dossier-"))
     return df.checkpoint(eager=True)

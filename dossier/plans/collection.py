@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dossier.operators import jobs, search, site
+from dossier.operators import images, jobs, search, site
+from dossier.sources import files
 from dossier.sources.corpus import WORDS_SQL, redactions, table, words
 
 PAGE = ["doc_id", "page"]
@@ -112,6 +113,29 @@ def q_palette(spark, sf_dir):
     return site.palette(docs, stamps, gaps, codes).groupBy("kind").agg(F.count("*").alias("n"), F.min("label").alias("first"), F.max("target").alias("last"))
 
 
+def q_image_kernels(spark, sf_dir):
+    """Small page pictures made by rule: paper, a dark box, grain; what the kernels measure of each."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), (40 + F.col("p_size") % 17).alias("width"), (30 + F.col("p_partkey") % 11).alias("height"), (F.col("p_partkey") % 3).alias("kind"))
+    at = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
+    dark = lambda i: (i % F.col("width")).between(8, 27) & F.floor(i / F.col("width")).between(6, 18)
+    tone = F.transform(at, lambda i: F.when(F.col("kind") == 0, 240).when(dark(i), 20).when((F.col("kind") == 2) & ((i * 7919 + F.col("key")) % 13 == 0), 90).otherwise(235))
+    pixels = F.unhex(F.array_join(F.transform(tone, lambda t: F.lpad(F.hex(t), 2, "0")), ""))
+    return images.measured(p.select("key", "width", "height", pixels.alias("pixels")))
+
+
+def q_discover(spark, sf_dir):
+    """The files of the folder itself: kinds by content, copies, slugs."""
+    usable, skipped = files.discover(spark, sf_dir)
+    return usable.select("name", "kind", "slug", F.lit(None).cast("string").alias("reason")).unionByName(skipped.select("name", "kind", F.lit(None).cast("string").alias("slug"), "reason"))
+
+
+def q_file_kinds(spark, sf_dir):
+    """Types of contents by their first bytes, whatever the name says."""
+    heads = ["255044462D", "89504E470D0A1A0A00", "FFD8FFE0", "4749463839", "5249464600000000574542500000", "6F6E650A", "00FF", "20202020255044462D312E34"]
+    p = table(spark, sf_dir, "part").select("p_partkey", F.unhex(F.element_at(F.array(*map(F.lit, heads)), (F.col("p_partkey") % len(heads) + 1).cast("int"))).alias("content"), F.when(F.col("p_partkey") % 3 == 0, "x.TXT").otherwise("y.pdf").alias("name"))
+    return p.select("p_partkey", files.kind_of(F.col("content"), F.col("name"), F.length("content")).alias("kind"), files.matches(F.col("name"), ["*.txt"]).alias("matched"))
+
+
 def q_page_jobs(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file"), F.when(F.col("p_partkey") % 5 == 0, "image").otherwise("pdf").alias("kind"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_size") % 7).alias("n_tree"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") % 5).alias("n_scan"))
     return jobs.page_jobs(p).groupBy("file").agg(F.count("*").alias("n"), F.max("page").alias("last"))
@@ -174,6 +198,7 @@ _TERM = "regexp_replace(lower(translate(text, '‘’‛ʼ´‐‑‒–—―
 _PTS = "pts as (select distinct unicode(c) as cp from (select unnest(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '<[^>]*>', '', 'g'), '')) as c from pages) where c <> '')"
 
 ORACLE = {
+    "q_file_kinds": "select p_partkey, case p_partkey % 8 when 0 then 'pdf' when 5 then case when p_partkey % 3 = 0 then 'text' else 'unsupported' end when 6 then 'unsupported' when 7 then 'pdf' else 'image' end as kind, p_partkey % 3 = 0 as matched from part",
     "q_payloads": f"""with {WORDS_SQL}, b as (select doc_id, page, count(*) as n, string_agg(round_even(x * 10000, 0)::int || ',' || round_even(y * 10000, 0)::int || ',' || round_even(w * 10000, 0)::int || ',' || round_even(h * 10000, 0)::int, ',' order by pos) as b from words group by all),
       j as (select doc_id, page, '{{"b":[' || b || '],"n":' || n || '}}' as p from b) select doc_id, page, md5(p) as payload_md5, (length(p) + 18)::int as n from j""",
     "q_display_lines": f"""with {WORDS_SQL}, r as (select *, case when rid % 13 = 0 then 2.0 else y + 0.004 end as ry from redactions), l as (select doc_id, page, line, min(y) as top, max(y + h) as bottom from words group by all),

@@ -218,7 +218,7 @@ def q_associate(spark, sf_dir):
 
 _MEET = """meet as (select w.doc_id, w.page, w.pos, w.text, r.rid, w.w * w.h as area,
    (least(w.x + w.w, r.x + r.w) - greatest(w.x, r.x)) * (least(w.y + w.h, r.y + r.h) - greatest(w.y, r.y)) as shared
-  from words w join redactions r on w.doc_id = r.doc_id and w.page = r.page and w.x < r.x + r.w and r.x < w.x + w.w and w.y < r.y + r.h and r.y < w.y + w.h)"""
+  from words w join redactions r on w.doc_id = r.doc_id and w.page = r.page and w.line = r.rid // 12 and w.x < r.x + r.w and r.x < w.x + w.w and w.y < r.y + r.h and r.y < w.y + w.h)"""
 
 
 def _cells_sql(source: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dossier.functions import scripts, stopwords, text
-from dossier.operators import quality
+from dossier.operators import ordered, quality
 from dossier.operators.lineage import written
 from dossier.sources.corpus import TOKENS_SQL, WORDS_SQL, table, tokens, words
 
@@ -105,7 +105,8 @@ def q_slug(spark, sf_dir):
 
 def q_natural_sort(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("doc"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("name"))
-    return parts.select("name", F.row_number().over(Window.partitionBy(F.length("name") - F.length("name")).orderBy(text.natural_key(F.col("name")), "name")).alias("place"))
+    placed = ordered.running(parts.withColumn("key", text.natural_key(F.col("name"))), [F.col("key"), F.col("name")])
+    return placed.select("name", F.col("_rank").cast("int").alias("place"))
 
 
 def q_plain_text(spark, sf_dir):
@@ -143,8 +144,7 @@ _ALPHA = f"alpha as (select doc_id, {_NORM} as word from tokens where regexp_mat
 _RATIO = f"""{_ALPHA}, n as (select doc_id, count(*) as n from alpha group by doc_id),
 hits as (select doc_id, lang, count(*) as hits from alpha join stopwords using (word) group by all), ratio as (select doc_id, lang, hits / n::double as ratio, n from hits join n using (doc_id))"""
 _PLAIN = (
-    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'),"
-    r" '(?m)^\s{0,3}(#{1,6}|>|[-*+]|\d+\.)\s+', '', 'g'), '[*_`]+', '', 'g'), '\s+', ' ', 'g'), '\s+([.,;:!?])', '\1', 'g'))"
+    r"regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', ' ', 'g'), '[#>*_`]+', ' ', 'g'), '\[([^\]\n]+)\]\([^)\s]+\)', '\1', 'g'), '\s+', ' ', 'g')), '\s+([,.;:!?])', '\1', 'g')"
 )
 _SLUG = "regexp_replace(substring(regexp_replace(regexp_replace(translate(lower(replace(text, 'ß', 'ss')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '')"
 

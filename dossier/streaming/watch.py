@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.operators.ordered import running
+
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change): added, removed or modified between two snapshots (path, size, modified)."""
@@ -25,13 +28,31 @@ def settled_stream(events: DataFrame, quiet: str = "2 seconds", late: str = "10
 
 
 def watch(spark, root: str, build, checkpoint: str, schema: str = "path string, modificationTime timestamp, length bigint, content binary"):
-    """Runs ``build(batch)`` on the files that are new below ``root``; a failing batch is reported and doesn't end the watch."""
+    """Runs ``build(batch)`` on the files that are new below ``root``; a failing batch doesn't end the watch.
+
+    The files of a failed batch are noted below ``checkpoint`` with the error and come again with the next batch, until one succeeds.
+    """
+    failed = f"{checkpoint}/failed"
+
+    def again(session) -> DataFrame | None:
+        try:
+            notes = session.read.schema("path string, number bigint, error string").json(failed)
+        except AnalysisException:
+            return None
+        paths = [r.path for r in notes.select("path").distinct().collect()]  # of failed batches alone
+        return session.read.format("binaryFile").load(paths).select(*(c.split()[0] for c in schema.split(", "))) if paths else None
 
     def each(batch: DataFrame, number: int) -> None:
+        old = again(batch.sparkSession)
+        files = batch if old is None else batch.unionByName(old).dropDuplicates(["path"])
         try:
-            build(batch)
+            build(files)
         except Exception as error:
-            print(f"batch {number}: {error}")
+            notes = files.select("path", F.lit(number).alias("number"), F.lit(str(error)[:500]).alias("error")).collect()
+            batch.sparkSession.createDataFrame(notes, "path string, number bigint, error string").coalesce(1).write.mode("overwrite").json(failed)
+        else:
+            if old is not None:
+                batch.sparkSession.createDataFrame([], "path string, number bigint, error string").write.mode("overwrite").json(failed)
 
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -48,9 +69,6 @@ def missing(jobs: DataFrame, memo: DataFrame) -> DataFrame:
 
 
 def pruned(entries: DataFrame, budget: int) -> DataFrame:
-    """Entries (key, bytes, used) with ``kept``: newest first while their sum fits the budget. Entries are grouped by day, so no task sorts them all."""
-    day = F.to_date("used")
-    days = entries.groupBy(day.alias("day")).agg(F.sum("bytes").alias("total"))
-    days = days.withColumn("newer", F.sum("total").over(Window.orderBy(F.desc("day"))) - F.col("total")).drop("total")
-    own = F.sum("bytes").over(Window.partitionBy("day").orderBy(F.desc("used"), "key"))
-    return entries.withColumn("day", day).join(days, "day").withColumn("kept", F.col("newer") + own <= budget).drop("day", "newer")
+    """Entries (key, bytes, used) with ``kept``: newest first while their sum fits the budget. Entries that say no time are the oldest."""
+    summed = running(entries, [F.desc_nulls_last("used"), F.col("key").asc()], F.col("bytes"))
+    return summed.withColumn("kept", F.col("_total") <= budget).drop("_rank", "_total")
