@@ -211,6 +211,7 @@ def test_linear_grouping_sorts_suffixes():
 @pytest.mark.parametrize("most", [2048, 2])
 def test_substring_dedup(docs, nothing, monkeypatch, most):
     monkeypatch.setattr(substring_dedup, "MOST_RUNS", most)
+    monkeypatch.setattr(substring_dedup, "HOT_FROM", 6 if most > 2 else 1)
     length = 60
     rows = sample()
     found = substring_dedup.remove_repeats(docs, length=length, passage=40).collect()
