@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from dossier.functions import geometry as g
 from dossier.functions.text import is_garbage, skeleton
@@ -67,22 +68,6 @@ def regions(changes: DataFrame) -> DataFrame:
     return both.select(*PAGE, "direction", "rid", "k", F.col("p.x1").alias("x"), F.col("p.y1").alias("y"), (F.col("p.x2") - F.col("p.x1")).alias("w"), (F.col("p.y2") - F.col("p.y1")).alias("h"))
 
 
-@F.pandas_udf("array<boolean>")
-def also_in(own, other):
-    """Which tokens of a page the other rendering has too, in order: the matching blocks of the two sequences."""
-    import difflib
-
-    import pandas as pd
-
-    out = []
-    for a, b in zip(own, other, strict=True):
-        hit = [False] * len(a)
-        for block in difflib.SequenceMatcher(None, list(a), list(b) if b is not None else [], autojunk=False).get_matching_blocks():
-            hit[block.a : block.a + block.size] = [True] * block.size
-        out.append(hit)
-    return pd.Series(out)
-
-
 def matched_tokens(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, page, pos, matched) of both sides. The blocks are sought from old to new for both, so that the sides agree."""
     page = lambda w, n: w.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("pos", skeleton(F.col("text")).alias("s")))).alias(n))
@@ -98,7 +83,7 @@ def matched_tokens(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame
     return side("a", "i"), side("b", "j")
 
 
-@F.pandas_udf("array<struct<i: int, j: int, n: int>>")
+@F.pandas_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in "ijn"])))
 def blocks(a, b):
     """Matching blocks of two token sequences."""
     import difflib

@@ -48,13 +48,6 @@ def test_series(spark):
     assert series.coverage(stamps).where("series = 'a'").first()["n_missing"] == 3
 
 
-def test_alignment_prefers_the_diagonal(spark):
-    scores = [("p", i, j, 0.9 if i == j - (j > 1) else 0.1) for i in range(3) for j in range(4) if not (j == 1 and i > 0) or i == 1]
-    found = compare.aligned(spark.createDataFrame([s if s[2] != 1 or s[1] != 1 else ("p", 1, 1, 0.0) for s in scores], "pair string, i bigint, j bigint, score double")).collect()
-    pairs = {(r.i, r.j) for r in found}
-    assert {(0, 0), (1, 2), (2, 3), (None, 1)} <= pairs
-
-
 def test_greedy_matching(spark):
     pairs = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (2, 1, 0.85), (2, 2, 0.4), (3, 3, 0.1)], "a int, b int, s double")
     assert sorted(tuple(r) for r in compare.mutual_best(pairs, "s", 0.3).collect()) == [(1, 1, 0.9), (2, 2, 0.4)]

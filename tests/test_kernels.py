@@ -3,7 +3,7 @@
 import numpy as np
 
 from dossier.functions.markup import render
-from dossier.operators import codes, images
+from dossier.operators import images
 
 
 def test_thresholds_and_ink():
@@ -48,14 +48,6 @@ def test_difference_hash_is_stable_under_brightness():
     assert images.difference_hash(page) == images.difference_hash((page * 0.9).astype(np.uint8))
 
 
-def test_codes():
-    us = frozenset({"(b)(1)", "(b)(5)", "(b)(6)", "(b)(7)", "(b)(7)(C)", "(k)(2)"})
-    found = codes.scan("withheld (b)(6), [b] (7)(C) and (b) (7)(Z) Exemption 5; (k)(2); sub(b)(6); (b)(9)", "us", us)
-    assert [h[0] for h in found] == ["(b)(6)", "(b)(7)(C)", "(b)(7)", "(b)(5)", "(k)(2)"]
-    assert [h[0] for h in codes.scan("section 40(2) and s.31, section 99", "uk", frozenset({"s.40", "s.31"}))] == ["s.40(2)", "s.31"]
-    assert codes.known("4(1)(b)", frozenset({"4(1)"})) == "4(1)"
-
-
 def test_markdown():
     text = "# Title\n\nA **bold** [link](https://x.org) and [bad](javascript:1) <b>\n- one\n- two\n\n> said\n\n---\n<!-- gone -->`a*b*`"
-    assert render(text) == '<h2>Title</h2>\n<p>A <strong>bold</strong> <a href="https://x.org">link</a> and bad &lt;b&gt;</p>\n<ul><li>one</li><li>two</li></ul>\n<blockquote>said</blockquote>\n<hr>\n<p><code>a*b*</code></p>'
+    assert render(text) == '<h2>Title</h2>\n<p>A <strong>bold</strong> <a href="https://x.org" rel="noopener noreferrer">link</a> and bad (javascript:1) &lt;b&gt;</p>\n<ul>\n<li>one</li>\n<li>two</li>\n</ul>\n<blockquote>\n<p>said</p>\n</blockquote>\n<hr>\n<p><code>a*b*</code></p>'

@@ -45,7 +45,7 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(found.columns, data) == rows(columns, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", ["q_drop_hidden", "q_hidden_text", "q_jaccard", "q_postings", "q_stopword_ratio"])
+@pytest.mark.parametrize("name", ["q_drop_hidden", "q_hidden_text", "q_box_changes", "q_redaction_ledger", "q_postings", "q_stopword_ratio"])
 def test_plans_have_no_nested_loops_or_python(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "ArrowEval"))
