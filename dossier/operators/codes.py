@@ -198,3 +198,37 @@ def legend(hits: DataFrame, vocabulary: list[str]) -> DataFrame:
     """(code, place, n_documents): codes in the vocabulary's order, unknown ones last."""
     place = F.array_position(F.array(*map(F.lit, vocabulary)), F.col("code"))
     return hits.groupBy("code").agg(F.count_distinct("doc_id").alias("n_documents")).withColumn("place", F.when(place > 0, place).otherwise(len(vocabulary) + 1))
+
+
+def labelled(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """Hits with their gloss of ``labels(code, label)``: a code's own, else its parent's. The vocabulary is bounded and is broadcast."""
+    parent = F.regexp_replace("code", r"\([^()]*\)$", "")
+    own = F.broadcast(labels.select("code", F.col("label").alias("_own")))
+    above = F.broadcast(labels.select(F.col("code").alias("_parent"), F.col("label").alias("_above")))
+    return hits.withColumn("_parent", parent).join(own, "code", "left").join(above, "_parent", "left").withColumn("label", F.coalesce("_own", "_above")).drop("_own", "_above", "_parent")
+
+
+# Where a page's legend stands, how far a code may stand from its box, and when two things are on one line.
+FOOTER, HEADER, NEAR, ON_LINE, LEGEND = 0.90, 0.06, 0.05, 0.5, 3
+
+
+def associated(hits: DataFrame, boxes: DataFrame, aspect: float = 612 / 792) -> DataFrame:
+    """(doc_id, page, hid, rid) of codes on a page (hid, x, y, w, h) and the box (rid, ...) that each explains; rid is null for codes of the whole page.
+
+    One box on the code's line is meant, however far; of several the nearest within 0.05 page heights, or none; with none on the line the nearest
+    within that. In the header and footer lines say nothing, and three codes or more there are a legend.
+    """
+    page = ["doc_id", "page"]
+    band = (F.col("y") >= FOOTER) | (F.col("y") + F.col("h") <= HEADER)
+    codes_ = hits.withColumn("band", band).withColumn("legend", F.col("band") & (F.sum(F.col("band").cast("int")).over(Window.partitionBy(*page)) >= LEGEND))
+    b = boxes.select(*page, "rid", *(F.col(c).alias(f"b_{c}") for c in "xywh"))
+    apart = lambda at, size: F.greatest(F.lit(0.0), F.col(f"b_{at}") - F.col(at) - F.col(size), F.col(at) - F.col(f"b_{at}") - F.col(f"b_{size}"))
+    gap = F.round(F.sqrt(F.pow(apart("x", "w") * aspect, F.lit(2)) + F.pow(apart("y", "h"), F.lit(2))), 9)
+    both = F.least(F.col("y") + F.col("h"), F.col("b_y") + F.col("b_h")) - F.greatest("y", "b_y")
+    line = (both >= ON_LINE * F.least("h", "b_h")) & (F.least("h", "b_h") > 0) & ~F.col("band")
+    pairs = codes_.where("not legend").join(b, page).withColumns({"gap": gap, "line": line}).where(F.col("line") | (F.col("gap") <= NEAR))
+    own = Window.partitionBy(*page, "hid")
+    pairs = pairs.withColumn("n_line", F.sum(F.col("line").cast("int")).over(own))
+    may = pairs.where(F.when(F.col("n_line") == 1, F.col("line")).when(F.col("n_line") > 1, F.col("line") & (F.col("gap") <= NEAR)).otherwise(F.col("gap") <= NEAR))
+    best = may.withColumn("k", F.row_number().over(own.orderBy("gap", "rid"))).where("k = 1").select(*page, "hid", "rid")
+    return hits.select(*page, "hid").join(best, [*page, "hid"], "left")

@@ -134,3 +134,91 @@ def measured(images: DataFrame) -> DataFrame:
         return pa.schema([("key", pa.string()), ("threshold", pa.int32()), ("ink", pa.float64()), ("inverted", pa.bool_()), ("n_components", pa.int32()), ("n_dark_boxes", pa.int32()), ("dhash", pa.int64())])
 
     return images.select(F.col("key").cast("string"), "width", "height", "pixels").mapInArrow(run, "key string, threshold int, ink double, inverted boolean, n_components int, n_dark_boxes int, dhash bigint")
+
+
+def spread(pixels: np.ndarray, threshold: int) -> float:
+    """How far apart the mean levels of paper and ink are, on either side of a threshold."""
+    count = np.bincount(pixels.ravel(), minlength=256).astype(np.float64)
+    levels, dark = np.arange(256), np.arange(256) <= threshold
+    if not count[dark].sum() or not count[~dark].sum():
+        return 0.0
+    return float((levels * count)[~dark].sum() / count[~dark].sum() - (levels * count)[dark].sum() / count[dark].sum())
+
+
+def profile(pixels: np.ndarray, most: int = 700_000, least_area: int = 4) -> dict:
+    """Sizes of a page's connected ink, on a copy of at most ``most`` pixels: count, median height, spread of heights, shares of the largest and the ten largest."""
+    inverted = ink(pixels)[1]
+    scale = 1
+    while pixels.size // scale**2 > most:
+        scale += 1
+    if scale > 1:
+        h, w = (n // scale * scale for n in pixels.shape)
+        pixels = pixels[:h, :w].reshape(h // scale, scale, w // scale, scale).mean(axis=(1, 3)).astype(np.uint8)
+    mask = pixels >= 128 if inverted else pixels < 128
+    found = np.array(components(mask, diagonal=False), np.float64).reshape(-1, 5)
+    area, height = found[:, 4], found[:, 3] - found[:, 1]
+    if not len(area):
+        return {"count": 0, "median_height": 0.0, "height_spread": 0.0, "largest_share": 0.0, "top10_share": 0.0}
+    kept = height[area >= least_area]
+    middle = float(np.median(kept)) if len(kept) else 0.0
+    low, high = np.percentile(kept, (25, 75)) if len(kept) else (0.0, 0.0)
+    order = np.sort(area)[::-1] / area.sum()
+    return {"count": int((area >= least_area).sum()), "median_height": middle * scale, "height_spread": float((high - low) / middle) if middle else 0.0, "largest_share": float(order[0]), "top10_share": float(order[:10].sum())}
+
+
+def pictorial(own: dict, dark_share: float) -> bool:
+    """Whether ink is a picture rather than text that failed: one part, or ten, have most of it."""
+    return dark_share >= 0.02 and (own["largest_share"] >= 0.25 or own["top10_share"] >= 0.5)
+
+
+def ink_share(pixels: np.ndarray, boxes: list[tuple[float, float, float, float]]) -> tuple[float, tuple[float, float, float, float] | None]:
+    """(share of a scan's content under boxes (x, y, w, h), extent of the content): content is ink or box."""
+    height, width = pixels.shape
+    covered = np.zeros(pixels.shape, bool)
+    for x, y, w, h in boxes:
+        x1, y1 = (min(n - 1, max(0, int(np.floor(v * n)))) for v, n in ((x, width), (y, height)))
+        x2, y2 = (min(n, max(a + 1, int(np.ceil(v * n)))) for v, n, a in ((x + w, width, x1), (y + h, height, y1)))
+        covered[y1:y2, x1:x2] = True
+    content = covered | (pixels <= otsu(pixels))
+    if not content.any():
+        return 0.0, None
+    rows, cols = np.flatnonzero(content.any(axis=1)), np.flatnonzero(content.any(axis=0))
+    extent = cols[0] / width, rows[0] / height, (cols[-1] + 1 - cols[0]) / width, (rows[-1] + 1 - rows[0]) / height
+    return float(covered.sum() / content.sum()), tuple(map(float, extent))
+
+
+def smallest_rendering(variants):
+    """The path of the smallest rendering of an array of (width, format, path)."""
+    return F.array_min(variants)["path"]
+
+
+def _middle_of_nine(values: np.ndarray) -> np.ndarray:
+    padded = np.pad(values, 1, mode="edge")
+    h, w = values.shape
+    return np.median(np.stack([padded[a : a + h, b : b + w] for a in range(3) for b in range(3)]), axis=0)
+
+
+def colourfulness(image: np.ndarray, widest: int = 256) -> float:
+    """How much real colour a page has, from 0 to 1: a high percentile of the difference of channels in a small, smoothed copy."""
+    image = np.asarray(image)
+    if image.ndim == 2:
+        return 0.0
+    step = max(1, -(-image.shape[1] // widest))
+    h, w = (n // step * step for n in image.shape[:2])
+    small = image[:h, :w, :3].reshape(h // step, step, w // step, step, 3).mean(axis=(1, 3))
+    chroma = np.maximum(np.abs(small[..., 0] - small[..., 1]), np.abs(small[..., 1] - small[..., 2]))
+    return float(np.percentile(_middle_of_nine(chroma), 99.9) / 255) if chroma.size else 0.0
+
+
+def grain(pixels: np.ndarray, tile: int = 512) -> float:
+    """Noise in flat parts of a page: the median over four tiles of the median second difference."""
+    scores = []
+    for k in range(4):
+        y, x = (max(0, (n - min(tile, n)) * k // 3) for n in pixels.shape)
+        t = pixels[y : y + tile, x : x + tile].astype(np.float32)
+        if min(t.shape) < 3:
+            scores.append(0.0)
+            continue
+        across = t[:, :-2] - 2 * t[:, 1:-1] + t[:, 2:]
+        scores.append(float(np.median(np.abs(across[:-2] - 2 * across[1:-1] + across[2:]))))
+    return float(np.median(scores))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dossier.functions import colours
-from dossier.operators import ledger, redaction
+from dossier.operators import codes, ledger, redaction
 from dossier.sources.corpus import WORDS_SQL, redactions, table, words
 
 PAGE = ["doc_id", "page"]
@@ -69,6 +69,18 @@ def q_unseen_words(spark, sf_dir):
     return redaction.unseen_words(w.withColumn("ink", F.when(F.col("pos") % 3 != 0, (F.col("pos") % 4) * 0.001)), glyphs)
 
 
+def q_code_boxes(spark, sf_dir):
+    """Which box each code on a page explains; every 41st word is a code."""
+    w = words(table(spark, sf_dir, "documents"))
+    hits = w.where("(doc_id + pos) % 41 = 0").select(*PAGE, F.col("pos").alias("hid"), "x", "y", "w", "h")
+    return codes.associated(hits, redactions(w))
+
+
+def q_code_labels(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, ("b(7)", "b(7)(C)", "s.40(2)", "b(9)"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("code"))
+    return codes.labelled(p, spark.createDataFrame([("b(7)", "law"), ("b(7)(C)", "privacy"), ("s.40", "person")], "code string, label string"))
+
+
 def _marks(spark, sf_dir):
     w = words(table(spark, sf_dir, "documents"))
     marks = redactions(w).withColumn("codes", F.when(F.col("rid") % 3 == 0, F.array(F.concat(F.lit("b("), (F.col("rid") % 9 + 1).cast("string"), F.lit(")")))).otherwise(F.array().cast("array<string>")))
@@ -153,6 +165,12 @@ ORACLE = {
       select doc_id, page, kind, count(*) as n, round(sum(w * h), 8) as area from (select doc_id, page, 'vector' as kind, w, h from led union all select doc_id, page, 'raster', w, h from ras where (doc_id, page, pos) not in (select (doc_id, page, pos) from dup)) group by all""",
     "q_overprinted": f"with {WORDS_SQL} select doc_id, page, pos as gid from words where pos % 10 = 0 and pos % 3 < 2",
     "q_unseen_words": f"with {WORDS_SQL} select doc_id, page, pos from words where pos % 5 = 0 and pos % 3 <> 0 and (pos % 4) * 0.001 < 0.002",
+    "q_code_labels": "select p_partkey, (['b(7)', 'b(7)(C)', 's.40(2)', 'b(9)'])[p_partkey % 4 + 1] as code, case p_partkey % 4 when 0 then 'law' when 1 then 'privacy' when 2 then 'person' end as label from part",
+    "q_code_boxes": f"""with {WORDS_SQL}, c0 as (select *, y >= 0.9 or y + h <= 0.06 as band from words where (doc_id + pos) % 41 = 0), c as (select *, band and sum(band::int) over (partition by doc_id, page) >= 3 as legend from c0),
+      p as (select c.doc_id, c.page, c.pos as hid, r.rid, not c.band and least(c.y + c.h, r.y + r.h) - greatest(c.y, r.y) >= 0.5 * least(c.h, r.h) as line,
+        round(sqrt((greatest(0.0, r.x - c.x - c.w, c.x - r.x - r.w) * 612 / 792.0::double) ** 2 + greatest(0.0, r.y - c.y - c.h, c.y - r.y - r.h) ** 2), 9) as gap from c join redactions r on c.doc_id = r.doc_id and c.page = r.page where not c.legend),
+      q as (select *, sum(line::int) over (partition by doc_id, page, hid) as n from p where line or gap <= 0.05), b as (select *, row_number() over (partition by doc_id, page, hid order by gap, rid) as k from q where case when n = 1 then line when n > 1 then line and gap <= 0.05 else gap <= 0.05 end)
+      select c.doc_id, c.page, c.pos as hid, b.rid from c left join b on b.doc_id = c.doc_id and b.page = c.page and b.hid = c.pos and b.k = 1""",
     "q_ledger_cells": f"with {WORDS_SQL}, {_MARKS} select doc_id, page, rid, round(x, 6) as x, round(w, 6) as w, code, inherited, round(share, 9) as share from marks",
     "q_ledger_selected": f"with {WORDS_SQL}, {_CHOSEN} select doc_id, page, rid from chosen",
     "q_ledger_left_out": f"""with {WORDS_SQL}, {_CHOSEN} select (select count(distinct (doc_id, page)) from marks) - (select count(distinct (doc_id, page)) from chosen) as n_pages_left, (select count(*) from marks) - (select count(*) from chosen) as n_marks_left,

@@ -51,3 +51,22 @@ def test_difference_hash_is_stable_under_brightness():
 def test_markdown():
     text = "# Title\n\nA **bold** [link](https://x.org) and [bad](javascript:1) <b>\n- one\n- two\n\n> said\n\n---\n<!-- gone -->`a*b*`"
     assert render(text) == '<h2>Title</h2>\n<p>A <strong>bold</strong> <a href="https://x.org" rel="noopener noreferrer">link</a> and bad (javascript:1) &lt;b&gt;</p>\n<ul>\n<li>one</li>\n<li>two</li>\n</ul>\n<blockquote>\n<p>said</p>\n</blockquote>\n<hr>\n<p><code>a*b*</code></p>'
+
+
+def test_profiles_grain_and_colour():
+    rng = np.random.default_rng(0)
+    page = np.full((120, 160), 235, np.uint8)
+    page[20:24, 10:150:4] = 20
+    text = images.profile(page)
+    assert text["count"] == 35 and text["median_height"] == 4 and not images.pictorial(text, images.ink(page)[0])
+    photo = page.copy()
+    photo[30:110, 20:140] = 60
+    assert images.pictorial(images.profile(photo), images.ink(photo)[0])
+    assert images.profile(np.full((5, 5), 255, np.uint8))["count"] == 0
+    assert images.grain(page) == 0.0 < images.grain(np.clip(page + rng.normal(0, 9, page.shape), 0, 255).astype(np.uint8))
+    stamp = np.repeat(page[..., None], 3, axis=2)
+    stamp[60:80, 60:90] = (200, 20, 20)
+    assert images.colourfulness(stamp) > 0.3 and images.colourfulness(np.repeat(page[..., None], 3, axis=2)) == 0.0 == images.colourfulness(page)
+    assert images.spread(page, images.otsu(page)) == 215.0
+    share, extent = images.ink_share(page, [(0.5, 0.5, 0.25, 0.25)])
+    assert abs(share - 1200 / (1200 + 140)) < 1e-9 and extent[0] == 10 / 160
