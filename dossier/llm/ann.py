@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm import flat
-from dossier.llm.common import cut, streams
+from dossier.llm.common import cut, sampled, streams
 
 #: Vectors that codebooks are fitted on at most, chosen by digest of their ids. Every vector is indexed.
 SAMPLE = 16_384
@@ -154,7 +154,7 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
 def _nearest_of(rows: DataFrame, every: int, k: int, shortlist: int, sample: int) -> DataFrame:
     """The search among rows (row, vector) of one length."""
     v = F.col("vector")
-    fitted = rows.orderBy(F.md5(F.to_json("row"))).limit(sample).select("vector").collect()
+    fitted = sampled(rows, F.md5(F.to_json("row")), sample).select("vector").collect()
     books = fit(np.array([r["vector"] for r in fitted], np.float32))
     n = rows.count()
     row_blocks, query_blocks = -(-n // ROW_BLOCK), -(-(n // every + 1) // QUERY_BLOCK)

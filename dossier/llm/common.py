@@ -48,6 +48,28 @@ def checked_broadcast(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if total <= MOST_BROADCAST else keys
 
 
+def sampled(df: DataFrame, turn, most: int) -> DataFrame:
+    """The ``most`` rows with the least ``turn``, a digest in hexadecimal, or all if they are fewer.
+
+    Rows are counted by the first digits of their digests (a million counts at most) and only those that can be among the least are sorted, so no task gets a
+    share of every other one's rows.
+    """
+    import math
+
+    marked, n = df.withColumn("_turn", turn), df.count()
+    if n > most:
+        digits = min(5, max(1, math.ceil(math.log(4 * n / most, 16))))
+        head = F.substring("_turn", 1, digits)
+        counts, total, last = marked.groupBy(head.alias("p")).count().orderBy("p").collect(), 0, "f" * digits
+        for row in counts:
+            total += row["count"]
+            if total >= most:
+                last = row["p"]
+                break
+        marked = marked.where(head <= last)
+    return marked.orderBy("_turn").limit(most).drop("_turn")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as (node, root): root is the least node of its component.
 

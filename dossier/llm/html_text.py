@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import flat
+from dossier.llm.common import sampled
 
 #: Pages that the classifier is fitted on at most, chosen by digest, and blocks of each.
 SAMPLE, SAMPLE_BLOCKS = 1000, 64
@@ -357,7 +358,8 @@ def main_text(page: str | None, weights: np.ndarray = START) -> str:
 
 def _weights(pages: DataFrame, id_col: str, html_col: str) -> np.ndarray:
     """The classifier, fitted on blocks of sample pages that are surely text (in an article, nothing against it) or surely furniture."""
-    chosen = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"), F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.md5(html_col))).alias("turn")).orderBy("turn").limit(SAMPLE).select("html")
+    told = F.concat_ws(":", F.col("id").cast("string"), F.xxhash64("html").cast("string"))
+    chosen = sampled(pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("html")), F.md5(told), SAMPLE).select("html")
 
     def run(batches):
         import pandas as pd

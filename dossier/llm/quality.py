@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm import flat
-from dossier.llm.common import cut
+from dossier.llm.common import cut, sampled
 
 #: Labelled rows that are fitted on at most, chosen by digest.
 SAMPLE = 20_000
@@ -202,7 +202,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     measured = cut(texts.mapInArrow(_measure, f"doc_id {id_type}, stats array<float>"))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    fit = measured.join(known, "doc_id").where(~held_out).orderBy(F.md5(F.col("doc_id").cast("string")), F.md5(F.col("stats").cast("string"))).limit(sample).select("stats", "quality").collect()
+    labelled = cut(measured.join(known, "doc_id").where(~held_out))
+    fit = sampled(labelled, F.concat(F.md5(F.col("doc_id").cast("string")), F.md5(F.col("stats").cast("string"))), sample).select("stats", "quality").collect()
     model = grow(np.array([r["stats"] for r in fit], np.float32).reshape(len(fit), len(FEATURES)), np.array([r["quality"] >= 0.5 for r in fit], np.float64))
 
     def score(batches):

@@ -151,3 +151,73 @@ def test_classifier_learns_from_sure_blocks():
     y = (x[:, 2] > 0).astype(float)
     w = html_text.fitted(x, y)
     assert w[2] > html_text.START[2] + 1 and np.allclose(html_text.fitted(x[:0], y[:0]), html_text.START)
+
+
+def listed_units(text: str, min_words: int = 8, min_line_words: int = 3):
+    """(first unit, byte start, byte length, words) of every run that counts, read plainly."""
+    import re
+
+    units, lines, at = [], [], 0
+    for number, line in enumerate(text.encode().split(b"\n")):
+        own = []
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", line):
+            own.append((at + m.start(), at + m.end(), m.group().lower()))
+            if m.group()[-1:] in b".!?":
+                units.append(own)
+                lines.append(number)
+                own = []
+        if own:
+            units.append(own)
+            lines.append(number)
+        at += len(line) + 1
+    pairs = set()
+    for k in range(len(units)):
+        for end in range(k, len(units)):
+            if sum(map(len, units[k : end + 1])) >= min_words:
+                pairs.add((k, end))
+                break
+        for start in range(k, -1, -1):
+            if sum(map(len, units[start : k + 1])) >= min_words:
+                pairs.add((start, k))
+                break
+    for number in set(lines):
+        own = [k for k, n in enumerate(lines) if n == number]
+        if min_line_words <= sum(len(units[k]) for k in own) < min_words:
+            pairs.add((own[0], own[-1]))
+    for a, b in pairs:
+        words = [w for u in units[a : b + 1] for w in u]
+        yield a, words[0][0], words[-1][1] - words[0][0], tuple(w for *_, w in words)
+
+
+def test_line_dedup_as_read_plainly(spark):
+    rng = random.Random(12)
+    sentences = [" ".join(rng.choices(["Alpha", "beta", "gamma", "Ünï", "delta"], k=rng.randint(1, 12))) + rng.choice([".", "!", "", "?"]) for _ in range(14)]
+    texts = ["".join(rng.choice(sentences) + rng.choice([" ", "\n", "  ", "\n\n"]) for _ in range(rng.randint(0, 14))) for _ in range(40)]
+    found = line_dedup.repeated_units(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    places = {}
+    for k, text in enumerate(texts):
+        for unit, start, length, words in listed_units(text):
+            places.setdefault(words, []).append((k, unit, start, length))
+    expected = []
+    for words, where in places.items():
+        first = min(where)[:2]
+        expected += [(k, u, s, n, len(words), *first, len(where)) for k, u, s, n in where if (k, u) != first]
+    columns = ("doc_id", "unit", "start", "length", "n_words", "first_doc_id", "first_unit", "occurrences")
+    assert sorted(tuple(r[c] for c in columns) for r in found) == sorted(expected)
+
+
+def test_very_long_texts(spark):
+    from dossier.llm import substring_dedup
+
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(250_000))
+    rows = spark.createDataFrame([(0, long), (1, long[:900_000]), (2, "x" * 1_500_000), (3, "short")], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(rows).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+    assert fingerprint.compared_with_next(rows).count() == 4
+    removed = {r.doc_id: (r.n_removed, r.n_bytes) for r in substring_dedup.remove_repeats(rows).collect()}
+    assert removed == {0: (900_000, len(long)), 1: (900_000, 900_000), 2: (1_500_000, 1_500_000), 3: (0, 5)}
+    assert line_dedup.repeated_units(rows).count() == 0
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert quality.score_quality(rows, labels).count() == 4
+    packed = packing.pack_documents(rows, tokenizer=queries.tokenizer_path()).groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in packed} == {0, 1, 2, 3}

@@ -201,6 +201,22 @@ def test_sharding(docs, nothing):
     assert sharding.ShardMap.read(grown.frame(docs.sparkSession)) == grown
 
 
+def test_kept_shard_maps_are_applied_again(docs, tmp_path):
+    spark, maps = docs.sparkSession, str(tmp_path / "maps")
+    first = {(r.doc_id, r.text_crc32): r.shard for r in sharding.shard_documents(docs, shards=3, maps=maps).collect()}
+    sharding.ShardMap.latest(spark, maps).grown({k: 1 for k in range(4096)}).save(spark, maps)
+    again = {(r.doc_id, r.text_crc32): (r.shard, r.map_version) for r in sharding.shard_documents(docs, shards=3, maps=maps).collect()}
+    assert all(v == 2 and (s == first[k] or s == 3) for k, (s, v) in again.items())
+
+
+def test_bounded_samples_are_the_least_by_digest(spark):
+    from dossier.llm.common import sampled
+
+    rows = spark.range(5000).withColumn("turn", F.md5(F.col("id").cast("string")))
+    expected = [r.id for r in rows.orderBy("turn").limit(70).collect()]
+    assert [r.id for r in sampled(rows, F.col("turn"), 70).collect()] == expected and sampled(rows.limit(9), F.col("turn"), 70).count() == 9
+
+
 def test_linear_grouping_sorts_suffixes():
     rng = random.Random(3)
     for _ in range(400):
