@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from dossier.llm.ann import nearest
-from dossier.llm.common import table
+from dossier.llm.common import shared_folder, table
 from dossier.llm.fingerprint import compared_with_next
 from dossier.llm.html_text import extract_text
 from dossier.llm.line_dedup import repeated_units
@@ -42,7 +44,8 @@ def op4_html_text(spark, sf_dir):
 
 
 def op5_sharding(spark, sf_dir):
-    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    maps = f"{shared_folder(spark)}/shard-maps-{uuid.uuid4().hex}"  # new documents, new map
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8, maps=maps)
 
 
 def op6_substring_dedup(spark, sf_dir):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,18 @@ class ShardMap:
         listed = ",".join(map(str, self.shard_of))
         return spark.sql(f"select {self.version} as version, {self.shards} as shards, pos as slot, cast(col as int) as shard from (select posexplode(split('{listed}', ',')))")
 
+    def save(self, spark: SparkSession, folder: str) -> None:
+        """Adds this version to the maps kept in a folder; versions are never changed."""
+        self.frame(spark).coalesce(1).write.mode("append").parquet(folder)
+
+    @classmethod
+    def latest(cls, spark: SparkSession, folder: str) -> ShardMap | None:
+        """The latest version that a folder keeps, if any."""
+        try:
+            return cls.read(spark.read.parquet(folder))
+        except AnalysisException:
+            return None
+
     @classmethod
     def read(cls, frame: DataFrame, version: int | None = None) -> ShardMap:
         """A stored map: the given version, or the latest."""
@@ -84,17 +97,24 @@ def slotted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return records.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
 
 
-def shard_documents(docs: DataFrame, *, shards: int = 8, shard_map: ShardMap | None = None, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, *, shards: int = 8, maps: str | None = None, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, map_version for each row of ``docs``.
 
     size is the text's UTF-8 bytes plus 1 (null: 1; its checksum is that of the empty text). The law is
-    ``bytes``: shard sizes are as near to equal as slots allow. slot is the row's place in its shard, gapless from 0.
-    grown_shard is null under this law. Repeated rows each get a place of their own; copies of one text under
+    ``bytes``: shard sizes are as near to equal as slots allow. ``maps`` is a folder of kept maps: its latest one is applied, and where it has none the first one is
+    drawn and kept there. slot is the row's place in its shard, gapless from 0.
+    grown_shard is null under this law. Copies of one text (groups) are kept together only if they share an id: whole groups could not be put into near equal shards. Repeated rows each get a place of their own; copies of one text under
     different ids spread over shards; a null id counts as one more id. Other columns are not read.
     """
     records = cut(slotted(docs, id_col=id_col, text_col=text_col, slots=slots))
     held = {r["vslot"]: (r["bytes"], r["rows"]) for r in records.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
-    shard_map = shard_map or ShardMap.balanced({s: b for s, (b, _) in held.items()}, shards, slots)
+    spark, sizes = docs.sparkSession, {s: b for s, (b, _) in held.items()}
+    shard_map = ShardMap.latest(spark, maps) if maps else None
+    if shard_map is None:
+        shard_map = ShardMap.balanced(sizes, shards, slots)
+        if maps:
+            shard_map.save(spark, maps)
+            shard_map = ShardMap.latest(spark, maps)
     first, filled = [0] * slots, [0] * shard_map.shards
     for slot, shard in enumerate(shard_map.shard_of):
         first[slot] = filled[shard]
