@@ -438,7 +438,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, passage: int = 200, pa
     texts = _texts(docs, id_col, text_col)
     near = repeated_spans(texts, passage)
     if length > passage:
-        regions = texts.join(checked_broadcast(near), KEY).select(*KEY, "text", "spans").mapInArrow(_regions(length), f"id struct<id: {texts.schema['id'].dataType.simpleString()}, th: bigint>, th bigint, text binary")
+        kind = f"struct<id: {texts.schema['id'].dataType.simpleString()}, th: bigint>"
+        regions = cut(texts.join(checked_broadcast(near), KEY).select(*KEY, "text", "spans").mapInArrow(_regions(length), f"id {kind}, th bigint, text binary"))
         far = repeated_spans(regions, length).select("id.id", "id.th", F.col("th").cast("int").alias("base"), F.explode("spans").alias("s"))
         far = far.groupBy(*KEY).agg(F.collect_list(F.struct((F.col("base") + F.col("s.start")).alias("start"), (F.col("base") + F.col("s.end")).alias("end"))).alias("far"))
         spans = near.join(far, KEY, "left")

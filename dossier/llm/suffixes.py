@@ -9,6 +9,7 @@ them, in one pass over the sorted suffixes. Nothing is renamed and nothing recur
 from __future__ import annotations
 
 from array import array
+from collections import Counter
 
 import numpy as np
 
@@ -38,18 +39,35 @@ def suffix_array(text) -> array:
     top = n
     while top:
         low = group[at[top - 1]]
+        if top - low == 1:  # a group of one, as most are
+            i = at[low]
+            j = i - 1
+            while j >= 0 and group[j] >= low:
+                j = smaller[j]
+            smaller[i] = j
+            if j >= 0:
+                g = group[j]
+                stop = end[g]
+                tail = stop - 1
+                if tail != g:
+                    other, mine = at[tail], place[j]
+                    at[mine], place[other] = other, mine
+                    at[tail], place[j] = j, tail
+                    end[tail], end[g], group[j] = stop, tail, tail
+            top = low
+            continue
         members = sorted(at[low:top])
-        pointed: dict[int, int] = {}
+        pointed = []
         for i in members:
             j = i - 1
             while j >= 0 and group[j] >= low:
                 j = smaller[j]
             smaller[i] = j
             if j >= 0:
-                pointed[j] = pointed.get(j, 0) + 1
+                pointed.append(j)
         if pointed:
-            often = max(pointed.values())
-            tiers = [pointed] if often == 1 else [[j for j, c in pointed.items() if c == k] for k in range(often, 0, -1)]
+            count = Counter(pointed) if len(set(pointed)) < len(pointed) else None
+            tiers = [[j for j, c in count.items() if c == k] for k in range(max(count.values()), 0, -1)] if count else [pointed]
             for tier in tiers:
                 tails: dict[int, int] = {}
                 for j in tier:
