@@ -104,9 +104,8 @@ def q_ledger_left_out(spark, sf_dir):
 
 
 def q_ledger_layout(spark, sf_dir):
-    """Where each page with marks stands in the field."""
-    drawn, pages = _marks(spark, sf_dir)
-    own = drawn.select(*PAGE, "aspect").distinct()
+    """Where each page that is drawn stands in the field."""
+    own = ledger.selected(_marks(spark, sf_dir)[0]).select(*PAGE, "aspect").distinct()
     return ledger.laid_out(ledger.scaled(own)).select(*PAGE, *(F.round(c, 4).alias(c) for c in ("x", "y", "w", "h")), "odd")
 
 
@@ -175,7 +174,7 @@ ORACLE = {
     "q_ledger_selected": f"with {WORDS_SQL}, {_CHOSEN} select doc_id, page, rid from chosen",
     "q_ledger_left_out": f"""with {WORDS_SQL}, {_CHOSEN} select (select count(distinct (doc_id, page)) from marks) - (select count(distinct (doc_id, page)) from chosen) as n_pages_left, (select count(*) from marks) - (select count(*) from chosen) as n_marks_left,
       round((select sum(share) from chosen) / (select sum(share) from marks), 6) as area_share""",
-    "q_ledger_layout": f"""with {WORDS_SQL}, {_MARKS}, p as (select distinct doc_id, page, aspect from marks), s0 as (select count(*) as n, median(aspect) as usual, min(aspect) as widest, max(aspect) as tallest from p),
+    "q_ledger_layout": f"""with {WORDS_SQL}, {_CHOSEN.replace("limit 200", "limit 1200").replace("limit 600", "limit 8000")}, p as (select distinct doc_id, page, aspect from chosen), s0 as (select count(*) as n, median(aspect) as usual, min(aspect) as widest, max(aspect) as tallest from p),
       s1 as (select *, least(greatest(1.0, ceil(sqrt(n * 1.6)), 5.0), 31.0)::double as cols from s0), s2 as (select *, (1000 - (cols - 1) * 6) / cols as slot_w from s1), s3 as (select *, slot_w * slot_w * greatest(widest, usual / 1.35) as area from s2), s as (select *, least(sqrt(area * tallest), slot_w * usual * 2.2) as slot_h from s3),
       q as (select doc_id, page, cols, slot_w, slot_h, sqrt(area / aspect) as w0, sqrt(area * aspect) as h0, row_number() over (partition by doc_id order by page) - 1 as k from p, s), f as (select *, least(1.0, slot_w / w0, slot_h / h0) as fit from q),
       g as (select *, fit < 0.999 as odd, case when fit < 0.999 then w0 * fit else w0 end as w, case when fit < 0.999 then h0 * fit else h0 end as h from f),
