@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.llm.common import cut
+
 WEIGHTS = (5, 2, 1)
 #: A document is sent so many times at most; a source's target is so many times its size at most.
 REPEATS = 3
@@ -67,7 +69,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     code point, null last. A null or empty text has size 0 and takes 0; repeated rows are queued one
     after the other. Reruns agree: the order depends on the seed, the id and the size alone.
     """
-    rows = _queued_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size")), weights, repeats, seed)
+    counted = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size")))  # words are counted once
+    rows = _queued_counts(counted, weights, repeats, seed)
     budget = F.round("target").cast("long")
     taken = sum((F.greatest(F.lit(0), F.least(budget - (F.col("start") + n * F.col("source_size")), F.col("size"))) for n in range(repeats)), F.lit(0))
     finish = F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target"))
