@@ -137,7 +137,7 @@ _RGB = "(case p when 0 then [0, 0, 0] when 1 then [1, 1, 1] when 2 then [0, 0, 0
 
 
 def _rgb(k: str) -> str:
-    return f"(case ({k}) % 6 when 0 then 0.0 when 1 then 1.0 when 2 then 0.0 when 3 then 0.5 end)"
+    return f"(case ({k}) % 6 when 0 then 0.0 when 1 then 1.0 when 2 then 0.0 when 3 then 0.5 end)::double"
 
 
 _CAND = "cand as (select *, case when rid % 19 <> 0 then rid * 10 + rid % 3 - 1 end as seq from redactions where rid % 11 <> 0 and rid % 7 <> 0 and w * 612 > 4 and h * 792 > 4 and y * 792 + h * 792 > 43)"

@@ -140,7 +140,7 @@ ORACLE = {
         case when not cut then 0 when turn = 0 then x0 when turn = 90 then y0 when turn = 180 then 612 - x1 else 792 - y1 end::double as dx, case when not cut then 0 when turn = 0 then y0 when turn = 90 then 612 - x1 when turn = 180 then 792 - y1 else x0 end::double as dy from d)
       select p_partkey, w, h, dx, dy, h - (300 - dy) as top, 100 - dx as "left", round((100 - dx) / w, 8) as x, round(50 / h, 8) as bh from f""",
     "q_turned_boxes": f"""with p as (select p_partkey, p_size / 100 as x, p_partkey % 50 / 100 as y, {_choose([0, 90, 180, 270, 270], "p_partkey")} as d from part)
-      select p_partkey, round(case d when 90 then y when 180 then 0.8 - x when 270 then 0.9 - y else x end, 6) as x, round(case d when 90 then 0.8 - x when 180 then 0.9 - y when 270 then x else y end, 6) as y, case when d in (90, 270) then 0.1 else 0.2 end as w, case when d in (90, 270) then 0.2 else 0.1 end as h from p""",
+      select p_partkey, round(case d when 90 then y when 180 then 0.8 - x when 270 then 0.9 - y else x end, 6) as x, round(case d when 90 then 0.8 - x when 180 then 0.9 - y when 270 then x else y end, 6) as y, case when d in (90, 270) then 0.1 else 0.2 end::double as w, case when d in (90, 270) then 0.2 else 0.1 end::double as h from p""",
     "q_resolutions": """with p as (select p_partkey, p_size * 20.0::double as w, (p_partkey % 90 * 10)::double as h from part)
       select p_partkey, case when h > 0 then greatest(1, least(greatest(150, ceil(1600 * 72 / w)), floor(72 * sqrt(4000000 / (w * h))))) else 150 end::int as dpi, greatest(1, ceil(w * 150 / 72))::bigint as pixels,
         coalesce(list_max(list_filter(range(1, 151), lambda d: greatest(1, ceil(w * d / 72)) * greatest(1, ceil(h * d / 72)) <= 1000000)), 1)::int as fitted, round(case when h > 0 then w / h else 612 / 792.0::double end, 6) as proportion from p""",
