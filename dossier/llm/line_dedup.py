@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm import flat
-from dossier.llm.common import cut
+from dossier.llm.common import checked_broadcast, cut
 
-UNIT = "unit int, start bigint, length bigint, n_words int, name binary"
+UNIT = "unit int, start bigint, length bigint, n_words int, h1 bigint, h2 bigint"
 
 
 def windows(owner: np.ndarray, line: np.ndarray, size: np.ndarray, min_words: int, min_line_words: int):
@@ -43,14 +43,14 @@ def windows(owner: np.ndarray, line: np.ndarray, size: np.ndarray, min_words: in
 
 
 def units(buf: np.ndarray, off: np.ndarray, min_words: int, min_line_words: int = 3):
-    """(row, first unit's number, byte start, byte end, words, name) of the ``windows`` of units.
+    """(row, first unit's number, byte start, byte end, words, halves of the name) of the ``windows`` of units.
 
     A unit ends at a newline, at a row's end, or after a word that ends in ``.``, ``!`` or ``?``.
     """
     start, end, row = flat.words(buf, off)
     n = len(start)
     if not n:
-        return (np.zeros(0, np.int64),) * 5 + ([],)
+        return (np.zeros(0, np.int64),) * 5 + (np.zeros((0, 2), np.int64),)
     token = flat.span_hash(flat.lowered(buf), start, end)
     lines = np.concatenate(([0], np.cumsum(buf == 10)))
     stop = np.isin(buf[end - 1], np.frombuffer(b".!?", np.uint8))
@@ -64,7 +64,7 @@ def units(buf: np.ndarray, off: np.ndarray, min_words: int, min_line_words: int
     line = np.cumsum(np.concatenate(([True], (owner[1:] != owner[:-1]) | (lines[start[first[1:]]] != lines[start[first[:-1]]]))))
     i, j = windows(owner, line, size, min_words, min_line_words)
     first, last = first[i], last[j]
-    return owner[i], number[i], start[first], end[last - 1], last - first, flat.names(token, first, last)
+    return owner[i], number[i], start[first], end[last - 1], last - first, np.frombuffer(b"".join(flat.names(token, first, last)), np.int64).reshape(-1, 2)
 
 
 def _list_units(min_words: int, min_line_words: int):
@@ -78,8 +78,8 @@ def _list_units(min_words: int, min_line_words: int):
                 row, number, start, end, size, name = units(buf[off[i] : off[j]], off[i : j + 1] - off[i], min_words, min_line_words)
                 base = off[i : j + 1][row] - off[i] if len(row) else row
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row + i)), pa.array(number, pa.int32()), pa.array(start - base, pa.int64()), pa.array(end - start, pa.int64()), pa.array(size, pa.int32()), pa.array(name, pa.binary())],
-                    ["doc_id", "unit", "start", "length", "n_words", "name"],
+                    [ids.take(pa.array(row + i)), pa.array(number, pa.int32()), pa.array(start - base, pa.int64()), pa.array(end - start, pa.int64()), pa.array(size, pa.int32()), pa.array(name[:, 0]), pa.array(name[:, 1])],
+                    ["doc_id", "unit", "start", "length", "n_words", "h1", "h2"],
                 )
 
     return flat.released(run)
@@ -99,15 +99,18 @@ def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     id_type = texts.schema["doc_id"].dataType.simpleString()
     listed = cut(texts.mapInArrow(_list_units(min_words, min_line_words), f"doc_id {id_type}, {UNIT}"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("unit"))
-    firsts = listed.groupBy("name").agg(F.min(rank).alias("first"), F.count("*").alias("occurrences")).where("occurrences > 1")
+    firsts = listed.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("occurrences")).where("occurrences > 1")
     firsts = cut(firsts)  # written, so that a frequent unit's side of the join can be split at run time
-    both = listed.join(firsts, "name")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("unit") == F.col("first.unit"))
     out = ["doc_id", "unit", "start", "length", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.unit").alias("first_unit"), "occurrences"]
-    # Rows that stand for a unit's first occurrence: more than one only where rows repeat an id and a text.
-    copies = both.where(is_first).groupBy("doc_id", "unit", "start", "length", "n_words", F.col("first"), "occurrences", "name").agg(F.count("*").alias("k")).where("k > 1")
-    again = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).select(*out, F.col("copy").cast("int").alias("copy"))
-    return both.where(~is_first).select(*out, F.lit(0).alias("copy")).unionByName(again)
+    later = listed.join(firsts, ["h1", "h2"]).where(~is_first).select(*out, F.lit(0).alias("copy"))
+    # A unit's first occurrence stands in more than one row only where rows repeat an id and a text: only those are looked at again.
+    again = cut(texts.groupBy(F.struct("doc_id").alias("id"), F.xxhash64("text").alias("th")).count().where("count > 1").select("id").distinct())
+    if again.isEmpty():
+        return later
+    own = listed.withColumn("id", F.struct("doc_id")).join(checked_broadcast(again), "id", "left_semi").drop("id")
+    copies = own.join(firsts, ["h1", "h2"]).where(is_first).groupBy("doc_id", "unit", "start", "length", "n_words", "first", "occurrences", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1")
+    return later.unionByName(copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).select(*out, F.col("copy").cast("int").alias("copy")))
 
 
 def without_units(docs: DataFrame, removed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
