@@ -60,7 +60,7 @@ class Tokens:
     """Token ids of whole batches: each distinct chunk is encoded once and its ids are gathered."""
 
     #: Distinct chunks that are remembered, by their bytes; beyond it the memory starts anew.
-    KEPT = 1 << 17
+    KEPT = 1 << 18
 
     def __init__(self, tokenizer: str):
         import base64
@@ -146,7 +146,7 @@ def _tokenize(tokenizer: str, capacity: int):
         tokens = Tokens(tokenizer)
         for batch in batches:
             buf, off = flat.columns(batch, "text")
-            for i, j in flat.slices(off):
+            for i, j in flat.slices(off, 512 << 10):
                 ids, at = tokens(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 sizes, sums = [], []
                 for r in range(j - i):
