@@ -1,7 +1,7 @@
 """Frequent words by language: a parameter of every operator that needs them.
 
-Any table (lang, word) can be given. The default counts them in the collection itself: the words that stand in most documents of each language, as
-far as the documents say which language they are in.
+Any table (lang, word) can be given. The default counts them in the collection itself, by language as far as
+the documents say which one they are in.
 """
 
 from __future__ import annotations
@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import normalized
-from dossier.sources.corpus import tokens
 
 #: Words a language.
 MOST = 60
 
 
 def counted(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """(lang, word): the ``most`` words that most of a language's documents (doc_id, text, lang) hold, ties by the word."""
-    word = normalized(F.col("text")).alias("word")
-    rows = tokens(docs).select("doc_id", word).where(F.col("word").rlike(r"\p{L}")).distinct().join(docs.select("doc_id", "lang").where("lang is not null"), "doc_id")
+    """(lang, word): the ``most`` words that a language's documents (text, lang) hold most often, ties by the word. One pass over the texts."""
+    parts = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    rows = docs.where("lang is not null").select("lang", F.explode(parts).alias("t")).select("lang", normalized(F.col("t")).alias("word")).where(F.col("word").rlike(r"\p{L}"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     return rows.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("k", place).where(F.col("k") <= most).select("lang", "word")
 
@@ -31,4 +30,4 @@ def by_word(stopwords: DataFrame) -> DataFrame:
 
 #: The same for DuckDB, behind ``tokens``; NORM is the normalised token.
 COUNTED_SQL = """stopwords as (select lang, word from (select lang, word, row_number() over (partition by lang order by count(*) desc, word) as k
-  from (select distinct doc_id, {norm} as word from tokens where regexp_matches({norm}, '\\p{{L}}')) join documents using (doc_id) where lang is not null group by lang, word) where k <= """ + str(MOST) + ")"
+  from (select doc_id, {norm} as word from tokens where regexp_matches({norm}, '\\p{{L}}')) join documents using (doc_id) where lang is not null group by lang, word) where k <= """ + str(MOST) + ")"
