@@ -73,13 +73,18 @@ def sampled(df: DataFrame, turn, most: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as (node, root): root is the least node of its component.
 
-    Alternating large-star and small-star rounds: every round is a grouped minimum and a join, the
+    Alternating large-star and small-star rounds: every star is a grouped minimum and a join, the
     edge count never grows, and paths shorten geometrically; rounds go on until one changes nothing. Nodes without edges are not listed.
+    Each star is cut and its rows are turned by ``inline``, not by a union: a side that is named twice is planned twice, and plans that
+    double at every step fill the driver's memory.
     """
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
 
+    def each(rows: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+        return rows.select(F.inline(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ends))))
+
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(edges)
     while seen[0]:
@@ -88,11 +93,9 @@ def components(edges: DataFrame) -> DataFrame:
         def lows(both: DataFrame, tasks=tasks) -> DataFrame:
             return both.join(both.groupBy("a").agg(F.min("b").alias("m")), "a").coalesce(tasks)
 
-        edges = edges.coalesce(tasks)
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = lows(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct().coalesce(tasks)
-        small = lows(large)
-        edges = cut(small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").where("a <> b").distinct().coalesce(tasks))
+        both = each(edges.coalesce(tasks), ("a", "b"), ("b", "a"))
+        large = cut(lows(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct().coalesce(tasks))
+        edges = cut(each(lows(large), ("b", "m"), ("a", "m")).where("a <> b").distinct().coalesce(tasks))
         now = mark(edges)
         if now == seen:
             break

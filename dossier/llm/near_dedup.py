@@ -249,7 +249,7 @@ def _clump_links(clumps: DataFrame, roots: DataFrame, full: DataFrame, percent:
     placed = clumps.select(F.col("node").alias("set"), F.col("root").alias("clump")).join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     tally = placed.groupBy("clump", "root").agg(F.count("*").alias("k"))
     main = tally.groupBy("clump").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most"))
-    rows = _facing(placed.join(main, "clump"), SET_BLOCK).join(full, "set")
+    rows = _facing(cut(placed.join(main, "clump")), SET_BLOCK).join(full, "set")
     rows = rows.select("clump", "block", "face", "set", "root", "probe", "shingles").repartition("clump", "block", "face").sortWithinPartitions("clump", "block", "face")
     return cut(rows.mapInArrow(_in_blocks(percent), PAIR).distinct())
 

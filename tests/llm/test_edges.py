@@ -221,3 +221,24 @@ def test_very_long_texts(spark):
     assert quality.score_quality(rows, labels).count() == 4
     packed = packing.pack_documents(rows, tokenizer=queries.tokenizer_path()).groupBy("doc_id").count().collect()
     assert {r.doc_id for r in packed} == {0, 1, 2, 3}
+
+
+def test_rounds_of_components_have_plans_of_bounded_size(spark, monkeypatch):
+    """Plans that name a side twice at every step double with each; the driver holds all of them."""
+    from dossier.llm import common
+
+    rng, leaves, cut = random.Random(5), [], common.cut
+
+    def counted(df):
+        leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return cut(df)
+
+    monkeypatch.setattr(common, "cut", counted)
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [tuple(rng.sample(range(200, 300), 2)) for _ in range(80)]
+    root = {k: k for e in edges for k in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = common.components(spark.createDataFrame(edges, "a int, b int")).collect()
+    assert {r.node: r.root for r in found} == root and len(found) == len(root)
+    assert max(leaves) <= 4
