@@ -118,6 +118,35 @@ def _confirm(percent: int):
     return flat.released(run)
 
 
+def _forest(most: int = 1 << 18):
+    """mapInArrow: pairs (a, b) without those whose ends a task's earlier pairs connect already.
+
+    ``most`` names are remembered; after that the forest begins anew, which costs pairs but loses no connection.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if (p := root(a)) != (q := root(b)):
+                    keep[i], parent[p] = True, q
+            if len(parent) > most:
+                parent.clear()
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], ["a", "b"])
+
+    return flat.released(run)
+
+
 def _groups(batch, keys):
     """(first, end) of each run of equal keys."""
     cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
@@ -305,7 +334,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tally = placed.groupBy("bucket", "root").agg(F.count("*").alias("k"))
     mixed = tally.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most")).where("classes > 1").drop("classes")
     open_ = cut(placed.select("bucket", "set", "root").join(mixed, "bucket"))
-    facing = listed(_facing(open_, BLOCK), ["bucket", "block", "face"], "root", "probe").mapInArrow(_across(least), PAIR)
+    # A group that many buckets hold comes with a forest from each; sorted by name they mostly share their roots, and a member's own edges meet in one task.
+    facing = listed(_facing(open_, BLOCK), ["bucket", "block", "face"], "root", "probe").sortWithinPartitions("bucket", "block", "face", "set").mapInArrow(_across(least), PAIR)
+    facing = facing.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition("a").mapInArrow(_forest(), PAIR)
     clumps = cut(components(facing))
     if not clumps.isEmpty():
         second = _clump_links(clumps, roots, full, percent)

@@ -242,3 +242,44 @@ def test_rounds_of_components_have_plans_of_bounded_size(spark, monkeypatch):
     found = common.components(spark.createDataFrame(edges, "a int, b int")).collect()
     assert {r.node: r.root for r in found} == root and len(found) == len(root)
     assert max(leaves) <= 4
+
+
+def test_a_group_in_many_buckets_is_proposed_by_a_forest(spark, monkeypatch):
+    """What may be linked goes to the components as about one edge a member, not one for each bucket that holds it."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for p in rng.sample(range(300), 6):
+            words[p] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows, counts, components = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), [], near_dedup.components
+
+    def counted(edges):
+        counts.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(near_dedup, "components", counted)
+    near_dedup.near_duplicates(rows, width=4).collect()
+    assert 0 < counts[1] <= 240, counts
+
+
+def test_a_forest_connects_what_its_pairs_connect():
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    pairs = [(b"%d" % rng.randrange(30), b"%d" % rng.randrange(30)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], ["a", "b"])
+    classes = lambda found: {frozenset(c) for c in _classes(found)}
+    for most in (1 << 18, 4):
+        kept = [(r["a"], r["b"]) for out in near_dedup._forest(most)(iter([batch.slice(0, 150), batch.slice(150)])) for r in out.to_pylist()]
+        assert classes(kept) == classes(pairs) and len(kept) <= 58
+
+
+def _classes(pairs):
+    found = []
+    for a, b in pairs:
+        both = [c for c in found if a in c or b in c]
+        found = [c for c in found if c not in both] + [{a, b}.union(*both)]
+    return found
